@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import language_id
+from tidelog.llm import language_id, line_dedup, mixing, near_dedup, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.query,
+    "op2_length_buckets": packing.query,
+    "op4_dart_minhash": near_dedup.query,
+    "op5_soft_mixing": mixing.query,
+    "op6_line_dedup": line_dedup.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_line_dedup": line_dedup.SQL,
+}
