@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import language_id
+from tidelog.llm import language_id, line_dedup, mixing, near_dedup, packing
 from tidelog.llm.common import keep, table
 
 STAGES = [
     ("language_id", language_id.stage),
+    ("line_dedup", line_dedup.stage),
+    ("near_dedup", near_dedup.stage),
+    ("mixing", mixing.stage),
+    ("packing", packing.stage),
 ]
 
 #: A fitted classifier decides in the first stage, which SQL cannot express.
