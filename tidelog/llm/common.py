@@ -111,12 +111,12 @@ def text_parts(col: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, np.nda
         lo = hi
 
 
-def word_bounds(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words (runs without ASCII white space), and each word's row."""
+def word_bounds(raw: np.ndarray, off: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs without bytes of ``between``, white space at first), and each word's row."""
     if not len(raw):
         z = np.zeros(0, np.int64)
         return z, z, z
-    blank = _SPACE[raw]
+    blank = between[raw]
     before = np.empty(len(raw), bool)
     before[0] = True
     before[1:] = blank[:-1]
