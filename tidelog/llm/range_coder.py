@@ -23,7 +23,7 @@ import zlib
 
 import numpy as np
 
-MAGIC, BLOCK = b"TLR1", 2048
+MAGIC, BLOCK = b"TLR1", 1024
 _U = np.uint64
 _TOTAL, _LOW = 16, _U((1 << 48) - 1)
 _HASH1, _HASH2, _COUNT = 11, 12, 11
