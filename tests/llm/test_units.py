@@ -93,6 +93,30 @@ def test_shingles():
     assert sorted(count[3:].tolist()) == [1, 1, 1, 1, 2, 2]
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_cross_pairs_connect_what_links_connect(seed):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 5000, 40)
+    items = [np.unique(np.where(rng.random(40) < rng.uniform(0, 0.3), rng.integers(0, 5000, 40), base)).astype(np.int32) for _ in range(40)]
+    comp = rng.integers(0, 1 << 40, 40)
+    comp[:9] = comp[0]
+    got = near_dedup.cross_pairs(items, comp, 80)
+    forest = embedding_dedup._Forest(40)
+    for i in range(9):
+        forest.join(0, i)
+    want = embedding_dedup._Forest(40)
+    for i in range(40):
+        if i < 9:
+            want.join(0, i)
+        for j in range(i):
+            common = len(np.intersect1d(items[i], items[j]))
+            if common * 180 >= (len(items[i]) + len(items[j])) * 80:
+                want.join(i, j)
+    for i, j in got:
+        assert forest.join(i, j)
+    assert [forest.root(i) for i in range(40)] == [want.root(i) for i in range(40)]
+
+
 # --- language -------------------------------------------------------------------------------------
 
 

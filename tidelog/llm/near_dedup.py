@@ -12,9 +12,9 @@ is doubled, which changes no filled coordinate.
 
 Texts with equal shingle sets are one node from then on, so copies are never compared. Nodes join on
 bands of five coordinates. In each bucket the nodes are compared with its smallest node first; where
-the links found leave nodes of a bucket in different components, the pairs across these components
-follow, restricted to set sizes that can reach the threshold. Every compared pair is
-verified on its whole shingle sets. Classes are the connected components of verified links.
+the links found leave nodes of a bucket in different components, every pair across these components
+follows: as rows in buckets of at most ``SMALL`` nodes; inside tasks, block by block, in larger ones, where
+only links that connect components are returned. Every compared pair is verified on its whole shingle sets. Classes are the connected components of verified links.
 
 The production weight of a shingle is one (Jaccard similarity of sets, 0.8 or more); ``weight="count"``
 takes the number of its occurrences. With 24 bands of five coordinates a pair at 0.8 meets
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import keep, lists, mix64, same_row, signed, table, text_hash, text_parts, word_bounds, word_hashes
 from tidelog.llm.graph import components
 
-WORDS, BANDS, ROWS = 5, 24, 5
+WORDS, BANDS, ROWS, SMALL, BLOCK = 5, 24, 5, 32, 4096
 _G, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -174,6 +174,49 @@ def verified(pairs: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     return both.where(F.col("common") * (100 + parts) >= (F.size("x") + F.size("y")) * parts).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def cross_pairs(items: list[np.ndarray], comp: np.ndarray, parts: int) -> list[tuple[int, int]]:
+    """Links that connect different components of the sets ``items``, without those that connect nothing new.
+
+    Overlaps of one set with all others are counted along the lists of sets that hold each of its items. Sets of the
+    largest component are connected already and are only compared with the rest.
+    """
+    size = np.array([len(x) for x in items])
+    row = np.repeat(np.arange(len(items)), size)
+    _, item = np.unique(np.concatenate(items), return_inverse=True)
+    holders, first = row[np.argsort(item, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(item))])
+    own = np.concatenate([[0], np.cumsum(size)])
+    _, group, members = np.unique(comp, return_inverse=True, return_counts=True)
+    found = []
+    for x in np.flatnonzero(group != members.argmax()):
+        mine = item[own[x] : own[x + 1]]
+        spans = first[mine + 1] - first[mine]
+        at = np.repeat(first[mine] - np.concatenate([[0], np.cumsum(spans)[:-1]]), spans) + np.arange(spans.sum())
+        common = np.bincount(holders[at], minlength=len(items))
+        for y in np.flatnonzero((common * (100 + parts) >= (size[x] + size) * parts) & (group != group[x])):
+            if group[y] != group[x]:
+                found.append((int(x), int(y)))
+                group[group == group[y]] = group[x]
+    return found
+
+
+def cross_links(rest: DataFrame, sets: DataFrame, parts: int, block: int = BLOCK) -> DataFrame:
+    """Links (u, v) across components in large buckets (band, size, node, comp).
+
+    A bucket is dealt into blocks by hash and two blocks at a time are one group, so a task holds at most about two blocks of sets; only links
+    that connect components leave it.
+    """
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    dealt = rest.withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    keyed = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "comp")
+
+    def run(part: pa.Table) -> pa.Table:
+        node = part["node"].to_numpy()
+        pairs = cross_pairs([x.values.to_numpy() for x in part["items"]], part["comp"].to_numpy(), parts)
+        return pa.table([pa.array([node[k[side]] for k in pairs], pa.int64()) for side in (0, 1)], ["u", "v"])
+
+    return keyed.join(sets, "node").select("band", "i", "j", "node", "comp", "items").groupBy("band", "i", "j").applyInArrow(run, "u long, v long")
+
+
 def classes(docs: DataFrame, similarity: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, th, class_id of each row. ``similarity`` in hundredths."""
     s = keep(sketch(docs, bands, rows))
@@ -189,9 +232,10 @@ def classes(docs: DataFrame, similarity: int = 80, bands: int = BANDS, rows: int
     comp = keep(components(links))
     # buckets that the first links leave in several components
     named = met.join(comp, "node", "left").select("band", "leader", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    split = named.groupBy("band").agg(F.count_distinct("comp").alias("parts"), F.count(F.lit(1)).alias("size")).where("parts > 1 and size > 2").select("band")
-    rest = named.join(split, "band", "left_semi").where("node <> leader")
-    x, y = (rest.select("band", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "comp"))) for k in "xy")
+    split = named.groupBy("band").agg(F.count_distinct("comp").alias("parts"), F.count(F.lit(1)).alias("size")).where("parts > 1 and size > 2").select("band", "size")
+    rest = keep(named.join(split, "band").where("node <> leader").drop("leader"))
+    small = rest.where(F.col("size") <= SMALL)
+    x, y = (small.select("band", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "comp"))) for k in "xy")
     more = (
         x.join(y, "band")
         .where("node_x < node_y and comp_x <> comp_y")
@@ -199,7 +243,7 @@ def classes(docs: DataFrame, similarity: int = 80, bands: int = BANDS, rows: int
         .select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
         .distinct()
     )
-    late = keep(verified(more, sets, similarity))
+    late = keep(verified(more, sets, similarity).union(cross_links(rest.where(F.col("size") > SMALL), sets, similarity)))
     if not late.isEmpty():
         comp = keep(components(links.union(late)))
     of = s.join(comp, "node", "left").select("doc_id", "th", F.coalesce("comp", "node").alias("class"))
