@@ -1,18 +1,17 @@
 """Adaptive context-mixing range coder for token ids, for many blocks at once.
 
 A block is coded by itself: all its models start anew, so any block can be read alone. An id is coded
-by up to six decisions. First, is it the id that followed the last two ids before (order 2)? If not, is it
-the one that followed the last id (order 1)? If not, its four nibbles follow, each with the order-0
-distribution of the nibbles above it. The probability of the first two decisions is a mix of
-three adaptive predictions, by the order-2 entry's confidence, by the order-1 entry's confidence and agreement, and
-by how often the predicted id occurred (order 0); the mix has adaptive weights in each block. All
-arithmetic is in whole numbers, so that every machine decodes alike.
-
-numpy works on all blocks of a call in step, so that the cost of a step is shared. The range coder has
-48 bits of low and range and moves 16 bits at a time; a carry is added to the word before, and
-whatever exceeds 16 bits is passed on at the end.
-
-A blob: magic, block count, then for each block its id count, word count and checksum (crc32 of the ids as
+by one decision and, where that fails, four nibbles. The decision is whether the id is the one that followed the last two ids before
+(order 2), else the one that followed the last id (order 1), else neither. The probability of the first answer is a mix of three
+adaptive predictions: by the confidence of the order-2 entry, by the confidence of the order-1 entry and whether both agree, and by how often the
+predicted id occurred (order 0); the mix has adaptive weights in each block. Nibbles follow the order-0 distribution of the nibbles above them, the last one
+a flat one. All arithmetic is in whole numbers, so that every machine decodes alike.
+
+numpy works on all blocks of a call in step, without picking out those that need a part of it: for a block whose id is known, a nibble is coded as a
+certainty, which costs nothing. The range coder has 48 bits of low and range and moves 16 bits at a time; a carry is added to the word before,
+and whatever exceeds 16 bits is passed on at the end.
+
+A blob: magic, block count and size, then for each block its id count, word count and checksum (crc32 of the ids as
 little-endian 32-bit integers), then the words. Ids are below 65,536.
 """
 
@@ -23,61 +22,63 @@ import zlib
 
 import numpy as np
 
-MAGIC, BLOCK = b"TLR1", 1024
+MAGIC, BLOCK = b"TLR2", 1024
 _U = np.uint64
-_TOTAL, _LOW = 16, _U((1 << 48) - 1)
-_HASH1, _HASH2, _COUNT = 11, 12, 11
-_ROWS0 = 1 + 16 + 256 + 1024
-_RATE0 = 4
+_BITS, _TOTAL = 15, 1 << 15
+_LOW = _U((1 << 48) - 1)
+_ENTRIES, _IDS, _ROWS = 11, 10, 1 + 16 + 256  # bits of the context tables and the counts; rows of nibbles
+_RATE, _LEAST = 4, 16
+#: Where the starts of a row tend when symbol s is seen: every other symbol keeps _LEAST of the total.
+_AIM = np.array([[_LEAST * i if i <= s else _TOTAL - _LEAST * (16 - i) for i in range(16)] for s in range(16)], np.int16)
+_LOG = np.array([min(15, 2 * x.bit_length()) for x in range(256)], np.int64)
+_ONES = _U(0x0101010101010101)
 
 
 class _Range:
-    """Low, range and words of all lanes; decoding holds code instead of low."""
+    """Low and range of all lanes; when decoding, low holds the code's distance from low."""
 
     def __init__(self, lanes: int, words: np.ndarray | None, cap: int) -> None:
-        self.range = np.full(lanes, (1 << 48) - 1, _U)
         self.decoding = words is not None
         self.words = words if words is not None else np.zeros((lanes, cap), np.uint32)
-        self.at = np.zeros(lanes, np.int64)
-        self.low = np.zeros(lanes, _U)
+        self.flat, self.at = self.words.reshape(-1), np.arange(lanes) * self.words.shape[1]
+        self.first = self.at.copy()
+        self.range, self.low = np.full(lanes, (1 << 48) - 1, _U), np.zeros(lanes, _U)
         if self.decoding:
-            for j in range(3):
-                self.low = (self.low << _U(16)) | self.words[:, j].astype(_U)
-            self.at += 3
+            for _ in range(3):
+                self.low = (self.low << _U(16)) | self.flat[self.at].astype(_U)
+                self.at += 1
 
-    def value(self, lane: np.ndarray | slice) -> np.ndarray:
-        return np.minimum(self.low[lane] // (self.range[lane] >> _U(_TOTAL)), _U(65535)).astype(np.int64)
+    def value(self, m: int) -> np.ndarray:
+        return np.minimum(self.low[:m] // (self.range[:m] >> _U(_BITS)), _U(_TOTAL - 1)).view(np.int64)
 
-    def take(self, lane: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
-        r = self.range[lane] >> _U(_TOTAL)
-        add, rng, low = r * start.astype(_U), r * freq.astype(_U), self.low[lane]
+    def take(self, m: int, start: np.ndarray, freq: np.ndarray) -> None:
+        """Narrows the first m lanes to [start, start + freq) of the total; the whole total changes nothing."""
+        low, rng, at = self.low[:m], self.range[:m], self.at[:m]
+        rng >>= _U(_BITS)
         if self.decoding:
-            low = low - add
-            small = np.flatnonzero(rng < _U(1 << 32))
-            if len(small):
-                who = lane[small]
-                low[small] = (low[small] << _U(16)) | self.words[who, self.at[who]]
-                rng[small] <<= _U(16)
-                self.at[who] += 1
+            low -= rng * start.view(_U)
         else:
-            low = low + add
-            over = np.flatnonzero(low >> _U(48))
+            low += rng * start.view(_U)
+            over = np.flatnonzero(low > _LOW)
             if len(over):
-                who = lane[over]
-                self.words[who, self.at[who] - 1] += np.uint32(1)
-                low[over] &= _LOW
-            small = np.flatnonzero(rng < _U(1 << 32))
-            if len(small):
-                who = lane[small]
-                self.words[who, self.at[who]] = (low[small] >> _U(32)).astype(np.uint32)
-                low[small] = (low[small] << _U(16)) & _LOW
-                rng[small] <<= _U(16)
-                self.at[who] += 1
-        self.low[lane], self.range[lane] = low, rng
-
-    def finish(self) -> None:
-        for j in range(3):
-            self.words[np.arange(len(self.at)), self.at] = (self.low >> _U(32)).astype(np.uint32)
+                self.flat[at[over] - 1] += np.uint32(1)
+                low &= _LOW
+        rng *= freq.view(_U)
+        small = np.flatnonzero(rng < _U(1 << 32))
+        if len(small):
+            who, part = at[small], low[small]
+            if self.decoding:
+                low[small] = (part << _U(16)) | self.flat[who]
+            else:
+                self.flat[who] = part >> _U(32)
+                low[small] = (part << _U(16)) & _LOW
+            rng[small] <<= _U(16)
+            at[small] = who + 1
+
+    def finish(self) -> np.ndarray:
+        """Writes what is left and returns the number of words of each lane."""
+        for _ in range(3):
+            self.flat[self.at] = self.low >> _U(32)
             self.low = (self.low << _U(16)) & _LOW
             self.at += 1
         for j in range(self.words.shape[1] - 1, 0, -1):
@@ -85,115 +86,104 @@ class _Range:
             if carry.any():
                 self.words[:, j - 1] += carry
         self.words &= np.uint32(0xFFFF)
-
-
-class _Models:
-    """The state of every lane's predictions."""
-
-    def __init__(self, lanes: int) -> None:
-        self.t1 = np.full(lanes << _HASH1, -1, np.int32)  # predicted id * 8 + confidence
-        self.t2 = np.full(lanes << _HASH2, -1, np.int32)
-        self.seen = np.zeros(lanes << _COUNT, np.uint8)
-        self.p2 = np.full(lanes * 16, 1 << 15, np.int32)
-        self.p1 = np.full(lanes * 32, 1 << 15, np.int32)
-        self.p0 = np.full(lanes * 16, 1 << 15, np.int32)
-        self.weight = np.tile(np.array([1 << 14, 1 << 14, 1 << 15], np.int64), (lanes, 1))
-        self.nibble = np.tile((np.arange(1, 17, dtype=np.int32) << 12).astype(np.uint16), (lanes * _ROWS0, 1))  # the 16th wraps to 0
-        self.last1, self.last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-
-
-_RAMP = np.arange(16, dtype=np.int32)
-#: Where the cumulative distribution of a nibble tends when symbol s is seen: every other symbol keeps 32 of 65,536.
-_AIM = np.array([[32 * (i + 1) if i < s else 65536 - 32 * (15 - i) for i in range(16)] for s in range(16)], np.int32)
-_LOG = np.array([min(15, x.bit_length() * 2) for x in range(256)], np.int64)
-
-
-def _flag(rc: _Range, m: _Models, lane: np.ndarray, guess: np.ndarray, conf: np.ndarray, other: np.ndarray, c1: np.ndarray, hit: np.ndarray | None, order: int) -> np.ndarray:
-    """Codes whether ``guess`` is right for each lane, by the mix of three predictions; returns the answers."""
-    count_at = (lane << _COUNT) + (guess & ((1 << _COUNT) - 1))
-    i2, i1 = lane * 16 + (order - 1) * 8 + conf, lane * 32 + (order - 1) * 16 + other * 8 + c1
-    i0 = lane * 16 + _LOG[m.seen[count_at]]
-    p = np.stack([m.p0[i0], m.p1[i1], m.p2[i2]], 1).astype(np.int64)
-    w = m.weight[lane]
-    mixed = np.clip((p * w).sum(1) >> 16, 64, 65536 - 64)
-    if hit is None:
-        hit = rc.value(lane) < mixed
-    start, freq = np.where(hit, 0, mixed), np.where(hit, mixed, 65536 - mixed)
-    rc.take(lane, start, freq)
-    toward = np.where(hit, 65535, 0)
-    m.p0[i0] += (toward - p[:, 0]) >> 5
-    m.p1[i1] += (toward - p[:, 1]) >> 4
-    m.p2[i2] += (toward - p[:, 2]) >> 4
-    sign = np.where(hit, 1, -1)[:, None]
-    w = np.clip(w + (((p - mixed[:, None]) * sign) >> 5), 1024, 65536)
-    m.weight[lane] = (w << 16) // w.sum(1, keepdims=True)
-    return hit
-
-
-def _nibbles(rc: _Range, m: _Models, lane: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-    """Codes whole ids, a nibble at a time from the top; returns them."""
-    out, base = np.zeros(len(lane), np.int64), lane * _ROWS0
-    for k in range(4):
-        if k == 0:
-            row = base
-        elif k == 1:
-            row = base + 1 + out
-        elif k == 2:
-            row = base + 17 + out
-        else:
-            row = base + 273 + ((out * 0x9E35) >> 4) % 1024
-        cdf = m.nibble[row].astype(np.int32)
-        cdf[:, 15] = 65536
-        if ids is None:
-            s = (cdf <= rc.value(lane)[:, None]).sum(1)
-        else:
-            s = (ids >> (12 - 4 * k)) & 15
-        high = cdf[np.arange(len(s)), s]
-        start = np.where(s > 0, cdf[np.arange(len(s)), s - 1], 0)
-        rc.take(lane, start, high - start)
-        cdf += (_AIM[s] - cdf) >> _RATE0
-        m.nibble[row] = cdf.astype(np.uint16)
-        out = (out << 4) | s
-    return out
+        return self.at - self.first
 
 
 def _run(rc: _Range, counts: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-    """Codes all lanes, longest first; ids (lanes, steps) are given to encode and returned when decoding."""
+    """Codes all lanes, the longest first; ids (steps, lanes) are given to encode and returned when decoding."""
     lanes, steps = len(counts), int(counts.max(initial=0))
-    m, out = _Models(lanes), np.zeros((lanes, steps), np.int64) if ids is None else ids
+    out = np.zeros((steps, lanes), np.int64) if ids is None else ids
+    lane = np.arange(lanes)
+    table1, table2 = np.zeros(lanes << _ENTRIES, np.int32), np.zeros(lanes << _ENTRIES, np.int32)  # predicted id * 8 + confidence
+    seen = np.zeros(lanes << _IDS, np.uint8)
+    guess = np.full(lanes * 64, _TOTAL // 2, np.int32)  # order 0: 16 cells, order 1: 16, order 2: 8, second answer: 16
+    weight = np.repeat(np.array([[1 << 12], [1 << 12], [1 << 13]], np.int64), lanes, 1)
+    starts = np.tile(np.arange(16, dtype=np.int16) << 11, (lanes * _ROWS + 1, 1))
+    cells, flat = starts.view("V32").reshape(-1), starts.reshape(-1)
+    shape = np.array([[0], [16], [32]])
+    last1, last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    mask, idmask = (1 << _ENTRIES) - 1, (1 << _IDS) - 1
+    at_entry, at_id, at_guess, at_row = lane << _ENTRIES, lane << _IDS, lane * 64, lane * _ROWS
+    m = lanes
     for t in range(steps):
-        lane = np.arange(int(np.searchsorted(-counts, -t, "left")))  # counts fall: the lanes with more than t ids
-        l1, l2 = m.last1[lane], m.last2[lane]
-        at1 = (lane << _HASH1) + (((l1 * 0x9E3779B1) >> 7) & ((1 << _HASH1) - 1))
-        at2 = (lane << _HASH2) + (((l1 * 0x9E3779B1 + l2 * 0x85EBCA6B) >> 9) & ((1 << _HASH2) - 1))
-        e1, e2 = m.t1[at1].astype(np.int64), m.t2[at2].astype(np.int64)
-        g1, g2 = e1 >> 3, e2 >> 3  # -1 where nothing was seen
-        c1, c2 = np.where(e1 < 0, 0, e1 & 7), np.where(e2 < 0, 0, e2 & 7)
-        same = (g1 == g2).astype(np.int64)
-        x = None if ids is None else ids[lane, t]
-        got = np.zeros(len(lane), np.int64) if x is None else x
-        open_ = np.ones(len(lane), bool)
-        a = np.flatnonzero(g2 >= 0)
-        if len(a):
-            hit = _flag(rc, m, lane[a], g2[a], c2[a], same[a], c1[a], None if x is None else x[a] == g2[a], 2)
-            done = a[hit]
-            got[done], open_[done] = g2[done], False
-        b = np.flatnonzero(open_ & (g1 >= 0) & (same == 0))
-        if len(b):
-            hit = _flag(rc, m, lane[b], g1[b], c1[b], np.zeros(len(b), np.int64), c2[b], None if x is None else x[b] == g1[b], 1)
-            done = b[hit]
-            got[done], open_[done] = g1[done], False
-        c = np.flatnonzero(open_)
-        if len(c):
-            got[c] = _nibbles(rc, m, lane[c], None if x is None else x[c])
+        if counts[m - 1] <= t:
+            m = int(np.searchsorted(-counts, -t, "left"))
+        l1, l2, row0 = last1[:m], last2[:m], at_row[:m]
+        h = l1 * 0x9E3779B1
+        at1 = at_entry[:m] + ((h >> 7) & mask)
+        at2 = at_entry[:m] + (((h + l2 * 0x85EBCA6B) >> 9) & mask)
+        e1, e2 = table1.take(at1), table2.take(at2)
+        g1, g2, c1, c2 = e1 >> 3, e2 >> 3, e1 & 7, e2 & 7
+        same = g1 == g2
+        # the mix for "the order-2 guess is right"
+        where = np.empty((3, m), np.int64)
+        where[0] = _LOG.take(seen.take(at_id[:m] + (g2 & idmask)))
+        where[1] = c1 + 8 * same
+        where[2] = c2
+        where += at_guess[:m]
+        where += shape
+        p, w = guess.take(where), weight[:, :m]
+        mixed = np.minimum(np.maximum((p * w).sum(0) // w.sum(0), 32), _TOTAL - 4096)
+        at_q = at_guess[:m] + 48 + c1
+        q = guess.take(at_q)
+        second = np.where(same, 0, np.maximum((_TOTAL - mixed) * q >> _BITS, 16))
+        second = np.minimum(second, _TOTAL - 2048 - mixed)
+        both = mixed + second
+        if ids is None:
+            v = rc.value(m)
+            hit2 = v < mixed
+            hit = v < both
+            x = np.where(hit2, g2, g1).astype(np.int64)
+        else:
+            x = ids[t, :m]
+            hit2 = g2 == x
+            hit = hit2 | ((g1 == x) & (second > 0))
+        low = np.where(hit2, 0, np.where(hit, mixed, both))
+        high = np.where(hit2, mixed, np.where(hit, both, _TOTAL))
+        rc.take(m, low, high - low)
+        toward = hit2 * np.int32(_TOTAL - 1)
+        guess[where] = p + ((toward - p) >> 4)
+        guess[at_q] = q + ((hit * np.int32(_TOTAL - 1) - q) >> 4) * ~hit2
+        w += ((p - mixed) * (2 * hit2.astype(np.int64) - 1)) >> 5
+        np.maximum(w, 256, out=w)
+        np.minimum(w, 1 << 15, out=w)
+        # nibbles; certain where the id is known
+        done = 0
+        for k in range(4):
+            if k == 3:
+                if ids is None:
+                    s = np.where(hit, x & 15, rc.value(m) >> 11)
+                else:
+                    s = x & 15
+                start, freq = s << 11, _TOTAL >> 4
+            else:
+                row = row0 if k == 0 else row0 + (1 if k == 1 else 17) + done
+                if ids is None:
+                    got = cells.take(row).view(np.int16).reshape(m, 16)
+                    below = (got <= rc.value(m).astype(np.int16)[:, None]).view(_U)
+                    s = np.where(hit, (x >> (12 - 4 * k)) & 15, (((below[:, 0] + below[:, 1]) * _ONES) >> _U(56)).view(np.int64) - 1)
+                else:
+                    s = (x >> (12 - 4 * k)) & 15
+                    got = cells.take(row).view(np.int16).reshape(m, 16)
+                place = (row << 4) + s
+                start = flat.take(place).astype(np.int64)
+                end = flat.take(place + 1).astype(np.int64)
+                freq = np.where(s == 15, _TOTAL, end) - start
+                cells[row] = (got + ((_AIM.take(s, 0) - got) >> _RATE)).view("V32").reshape(m)
+            start = np.where(hit, 0, start)
+            rc.take(m, start, np.where(hit, _TOTAL, freq))
+            done = s if k == 0 else (done << 4) | s
         if ids is None:
-            out[lane, t] = got
-        for table, at, e, g, conf in ((m.t1, at1, e1, g1, c1), (m.t2, at2, e2, g2, c2)):
-            right = g == got
-            table[at] = np.where(right, (got << 3) | np.minimum(conf + 1, 7), np.where(conf > 1, (g << 3) | (conf >> 1), got << 3))
-        k = (lane << _COUNT) + (got & ((1 << _COUNT) - 1))
-        m.seen[k] = np.minimum(m.seen[k], 254) + 1
-        m.last2[lane], m.last1[lane] = l1, got
+            x = done
+            out[t, :m] = x
+        new = x.astype(np.int32) << 3
+        right1, right2 = g1 == x, g2 == x
+        table1[at1] = np.where(right1, np.minimum(e1 + 1, new | 7), np.where(c1 > 1, (g1 << 3) | (c1 >> 1), new))
+        table2[at2] = np.where(right2, np.minimum(e2 + 1, new | 7), np.where(c2 > 1, (g2 << 3) | (c2 >> 1), new))
+        n = at_id[:m] + (x & idmask)
+        seen[n] = np.minimum(seen.take(n), 254) + 1
+        last2[:m] = l1
+        last1[:m] = x
     return out
 
 
@@ -211,31 +201,37 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     grid = np.zeros((n, block), np.int64)
     grid.reshape(-1)[: len(ids)] = ids
     rc = _Range(n, None, 3 * block + 8)
-    _run(rc, counts, grid)
-    rc.finish()
+    _run(rc, counts, np.ascontiguousarray(grid.T))
+    used = rc.finish()
     crc = [zlib.crc32(grid[i, : counts[i]].astype("<u4").tobytes()) for i in range(n)]
-    index = np.stack([counts, rc.at, np.array(crc, np.int64)], 1).astype("<u4").tobytes()
-    return head + index + b"".join(rc.words[i, : rc.at[i]].astype("<u2").tobytes() for i in range(n))
+    index = np.stack([counts, used, np.array(crc, np.int64)], 1).astype("<u4").tobytes()
+    return head + index + b"".join(rc.words[i, : used[i]].astype("<u2").tobytes() for i in range(n))
 
 
 def decode(blob: bytes) -> np.ndarray:
     """The ids of a blob; raises ValueError where magic, length or a block's checksum is wrong."""
     if len(blob) < 12 or blob[:4] != MAGIC:
         raise ValueError("not a token blob")
-    _, n, block = struct.unpack_from("<4sII", blob)
+    _, n, _ = struct.unpack_from("<4sII", blob)
     if len(blob) < 12 + 12 * n:
         raise ValueError("the block index is cut")
     index = np.frombuffer(blob, "<u4", 3 * n, 12).reshape(n, 3).astype(np.int64)
-    if len(blob) != 12 + 12 * n + 2 * int(index[:, 1].sum()):
+    if len(blob) != 12 + 12 * n + 2 * int(index[:, 1].sum()) or (np.diff(index[:, 0]) > 0).any():
         raise ValueError("the words do not fit the block index")
     if not n:
         return np.zeros(0, np.int64)
-    words = np.zeros((n, int(index[:, 1].max()) + 4), np.uint32)
+    steps = int(index[:, 0].max())
+    if steps > 4 * int(index[:, 1].max()) * 1024:
+        raise ValueError("the block index is damaged")
+    words = np.zeros((n, int(index[:, 1].max()) + 8), np.uint32)
     flat, at = np.frombuffer(blob, "<u2", offset=12 + 12 * n), 0
     for i, k in enumerate(index[:, 1]):
         words[i, :k] = flat[at : at + k]
         at += k
-    grid = _run(_Range(n, words, 0), index[:, 0], None)
+    try:
+        grid = _run(_Range(n, words, 0), index[:, 0], None).T
+    except IndexError:
+        raise ValueError("a block's words end too early") from None
     for i in range(n):
         if zlib.crc32(grid[i, : index[i, 0]].astype("<u4").tobytes()) != index[i, 2]:
             raise ValueError(f"block {i} has a wrong checksum")
