@@ -5,8 +5,8 @@ starts at each of them and ends where it holds ``min_words`` words, so its width
 one long line, or several short ones. The smallest line hash of a window is its fingerprint, so two
 texts that share a run of lines with ``min_words`` words are certain to share a fingerprint.
 Fingerprints that occur once in the corpus are dropped. For the others the occurrences are joined:
-around each, every window that owns it is compared, at its distance from the fingerprint, with the
-first such window of the corpus, which extends the match to both sides. A window with an earlier
+around each, every window that owns it, from those that end with it to those that begin with it, is compared with the
+first equal window of the corpus, which extends the match to both sides. A window with an earlier
 equal (smaller doc_id, then smaller line) marks its lines, and marked lines are deleted.
 
 Only hashes and positions are shuffled until the end; no two occurrences are ever paired, so a line
@@ -42,7 +42,7 @@ transform(units, (u, i) -> aggregate(
 
 
 def windows(docs: DataFrame, min_words: int) -> DataFrame:
-    """A row for each whole window: doc_id, th, pos, last, fingerprint, its position, window hashes."""
+    """A row for each whole window: doc_id, th, pos, last, fingerprint and its position, hashes of the window's worded lines."""
     lines = docs.where(F.col("text").isNotNull()).select("doc_id", text_hash().alias("th"), F.split("text", "\n", -1).alias("lines"))
     units = lines.select(
         "doc_id",
@@ -52,7 +52,7 @@ def windows(docs: DataFrame, min_words: int) -> DataFrame:
         ).alias("units"),
     )
     made = units.select("doc_id", "th", F.explode(F.expr(_WINDOWS.format(t=min_words))).alias("w"))
-    return made.where(F.col("w.words") >= min_words).select("doc_id", "th", "w.pos", "w.last", "w.fp", (F.col("w.fp_pos") - F.col("w.pos")).alias("off"), F.col("w.fp_pos").alias("fp_pos"), "w.a", "w.b")
+    return made.where(F.col("w.words") >= min_words).select("doc_id", "th", "w.pos", "w.last", "w.fp", F.col("w.fp_pos").alias("fp_pos"), "w.a", "w.b")
 
 
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -62,9 +62,9 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     shared = w.join(places.where("n > 1").select("fp"), "fp", "left_semi")
     place = F.struct("doc_id", "th", "pos")
     first = (
-        shared.groupBy("fp", "off", "a", "b").agg(F.min(place).alias("first"), F.max(place).alias("final")).where("first <> final").drop("final")
+        shared.groupBy("fp", "a", "b").agg(F.min(place).alias("first"), F.max(place).alias("final")).where("first <> final").drop("final")
     )
-    later = shared.join(first, ["fp", "off", "a", "b"]).where(place > F.col("first"))
+    later = shared.join(first, ["fp", "a", "b"]).where(place > F.col("first"))
     runs = later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "last")).alias("runs"))
     return runs.select("doc_id", "th", F.expr("array_distinct(flatten(transform(runs, r -> sequence(r.pos, r.last))))").alias("gone"))
 
