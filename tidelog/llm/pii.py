@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -201,9 +201,15 @@ def _joined(base: Column) -> Column:
     return F.array_join(F.transform(base, lambda x: F.concat_ws(":", kinds[x["k"]], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
+def _only(kind: int) -> Callable[[Column], Column]:
+    """A number if it is the kind, else null. (A second parameter of the function would be taken for the position.)"""
+    return lambda k: F.when(k == kind, k)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spans(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    kinds = F.transform("base", lambda x: x["k"])
+    counts = [F.size(F.array_compact(F.transform(kinds, _only(k)))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     base = _joined(F.col("base"))
     terms = F.array_join(F.transform("terms", lambda x: F.concat_ws(":", F.lit("term"), x["s"].cast("string"), x["e"].cast("string"))), ",")
     both = F.concat_ws(",", F.when(base != "", base), F.when(terms != "", terms))
