@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.schemas import KV_STATE
+from tidelog.sources.files import Manifests
 
 LAST_SEQ = "part INT, client_id BIGINT, last_seq BIGINT"
 
@@ -17,35 +17,18 @@ class Snapshots:
 
     def __init__(self, path: str) -> None:
         self.path = path.rstrip("/")
-
-    def _files(self, spark: SparkSession):  # noqa: ANN202
-        jvm = spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm, root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _manifest(self, spark: SparkSession) -> dict[str, object] | None:
-        """The newest manifest: manifests are numbered, written under another name and renamed, and never changed."""
-        jvm, fs = self._files(spark)
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        if not fs.exists(root):
-            return None
-        found = [f.getPath() for f in fs.listStatus(root) if f.getPath().getName().startswith("manifest-")]
-        if not found:
-            return None
-        newest = max(found, key=lambda p: p.getName())
-        text = spark.read.text(newest.toString(), wholetext=True).first()
-        return json.loads(text[0]) if text else None
+        self.manifests = Manifests(path)
 
     def committed(self, spark: SparkSession) -> int:
         """The id of the last committed batch, -1 before the first."""
-        m = self._manifest(spark)
-        return int(m["batch"]) if m else -1
+        found = self.manifests.newest(spark)
+        return found[0] if found else -1
 
     def load(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-        m = self._manifest(spark)
-        if not m:
+        found = self.manifests.newest(spark)
+        if not found:
             return spark.createDataFrame([], KV_STATE), spark.createDataFrame([], LAST_SEQ)
-        at = f"{self.path}/{m['folder']}"
+        at = f"{self.path}/{found[1]['folder']}"
         return spark.read.schema(KV_STATE).parquet(f"{at}/state"), spark.read.schema(LAST_SEQ).parquet(f"{at}/last_seq")
 
     def commit(self, spark: SparkSession, batch: int, state: DataFrame, last_seq: DataFrame) -> None:
@@ -53,13 +36,4 @@ class Snapshots:
         folder = f"v{batch:012d}-{uuid.uuid4().hex}"
         state.write.parquet(f"{self.path}/{folder}/state")
         last_seq.write.parquet(f"{self.path}/{folder}/last_seq")
-        jvm, fs = self._files(spark)
-        path = jvm.org.apache.hadoop.fs.Path
-        draft, final = path(f"{self.path}/.draft-{uuid.uuid4().hex}"), path(f"{self.path}/manifest-{batch:012d}")
-        out = fs.create(draft, False)
-        try:
-            out.write(bytearray(json.dumps({"batch": batch, "folder": folder}).encode()))
-        finally:
-            out.close()
-        if not fs.rename(draft, final):
-            raise RuntimeError(f"batch {batch} was committed by another writer")
+        self.manifests.commit(spark, batch, {"folder": folder})
