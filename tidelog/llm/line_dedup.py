@@ -59,12 +59,11 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, th, gone): the deleted line numbers, from 0, of the texts that lose any."""
     w = keep(windows(docs, min_words))
     places = w.select("fp", "doc_id", "th", "fp_pos").distinct().groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
-    shared = w.join(places.where("n > 1").select("fp"), "fp", "left_semi")
+    # what is aggregated is kept, so that the joins are of plain exchanges, whose hot keys Spark can split
+    shared = w.join(keep(places.where("n > 1").select("fp")), "fp", "left_semi")
     place = F.struct("doc_id", "th", "pos")
-    first = (
-        shared.groupBy("fp", "a", "b").agg(F.min(place).alias("first"), F.max(place).alias("final")).where("first <> final").drop("final")
-    )
-    later = shared.join(first, ["fp", "a", "b"]).where(place > F.col("first"))
+    first = keep(shared.groupBy("fp", "a", "b").agg(F.min(place).alias("first"), F.max(place).alias("final")).where("first <> final").drop("final"))
+    later = w.join(first, ["fp", "a", "b"]).where(place > F.col("first"))
     runs = later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "last")).alias("runs"))
     return runs.select("doc_id", "th", F.expr("array_distinct(flatten(transform(runs, r -> sequence(r.pos, r.last))))").alias("gone"))
 
