@@ -223,7 +223,8 @@ def classes(docs: DataFrame, similarity: int = 80, bands: int = BANDS, rows: int
     worded = s.where("node is not null")
     nodes = keep(worded.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")))
     band = nodes.select("node", "n", F.explode("bands").alias("band"))
-    shared = band.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+    # kept, so that the join after it is of two plain exchanges, whose hot keys Spark can split
+    shared = keep(band.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size"))
     met = keep(band.join(shared, "band"))
     wanted = met.select("node").distinct().join(nodes, "node").select("rep.doc_id", "rep.th", "node")
     sets = keep(shingle_sets(docs, wanted))
@@ -232,7 +233,7 @@ def classes(docs: DataFrame, similarity: int = 80, bands: int = BANDS, rows: int
     comp = keep(components(links))
     # buckets that the first links leave in several components
     named = met.join(comp, "node", "left").select("band", "leader", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    split = named.groupBy("band").agg(F.count_distinct("comp").alias("parts"), F.count(F.lit(1)).alias("size")).where("parts > 1 and size > 2").select("band", "size")
+    split = keep(named.groupBy("band").agg(F.count_distinct("comp").alias("parts"), F.count(F.lit(1)).alias("size")).where("parts > 1 and size > 2").select("band", "size"))
     rest = keep(named.join(split, "band").where("node <> leader").drop("leader"))
     small = rest.where(F.col("size") <= SMALL)
     x, y = (small.select("band", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "comp"))) for k in "xy")
@@ -247,7 +248,7 @@ def classes(docs: DataFrame, similarity: int = 80, bands: int = BANDS, rows: int
     if not late.isEmpty():
         comp = keep(components(links.union(late)))
     of = s.join(comp, "node", "left").select("doc_id", "th", F.coalesce("comp", "node").alias("class"))
-    low = of.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("low"))
+    low = keep(of.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("low")))
     return of.join(low, "class", "left").select("doc_id", "th", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("class_id"))
 
 
