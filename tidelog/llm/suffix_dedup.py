@@ -253,13 +253,14 @@ def _compare_large(strings: DataFrame, length: int) -> DataFrame:
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
     """doc_id, th, starts, ends: sorted byte spans (they may overlap) covered by repeated strings, of the rows that have any."""
     every = keep(members(docs, length, gram))
-    again = every.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+    # kept, so that the joins after it are of plain exchanges, whose hot keys Spark can split
+    again = keep(every.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"))
     some = keep(every.join(again, "h", "left_semi"))
     place = F.struct("doc_id", "th", "start")
     distinct = keep(some.groupBy("h", "s1", "s2", "n", "o").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("at")))
     whole = distinct.where("c > 1").select("h", "s1", "s2", F.array(F.lit(0)).alias("first"), F.array(F.col("n") - length).alias("last"))
     sizes = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("open")).where("size > 1 and open > 0")
-    needed = distinct.join(sizes.select("h", "size"), "h")
+    needed = distinct.join(keep(sizes.select("h", "size")), "h")
     by_doc = needed.groupBy(F.col("at.doc_id").alias("__id"), F.col("at.th").alias("__th")).agg(F.collect_list(F.struct("h", "s1", "s2", "o", "size", (F.col("at.start") + 1).cast("int").alias("from"), "n")).alias("cuts"))
     rows = docs.select("doc_id", text_hash().alias("th"), F.col("text").cast("binary").alias("text"))
     cut = rows.join(by_doc, same_row(rows, by_doc, "doc_id", "th", "__id", "__th"))
