@@ -380,6 +380,14 @@ def test_disclosing_terms(spark):
     assert pii.sanitise(df).columns == df.columns
 
 
+def test_term_counts(spark):
+    df = docs(spark, ["Alpha beta alpha", "ALPHA gammas", "betas", None, "alpha2beta"])
+    names = ["alpha", "beta", "gammas", "none"]
+    wanted = spark.createDataFrame([(int(h),) for h in pii.term_hash(names)], "term long")
+    got = {r.term: r.n for r in pii.term_counts(df, wanted).join(wanted, "term").collect()}
+    assert [got.get(int(h), 0) for h in pii.term_hash(names)] == [3, 2, 1, 0]
+
+
 def test_pii_query(spark):
     docs_ = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     rows = pii.query(spark, DATA).collect()

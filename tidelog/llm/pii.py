@@ -8,7 +8,7 @@ the entity's information, log(p(e|t) / p(e)) / -log p(e): 1 if the term occurs w
 nothing. Exposed terms of at least ``SUPPORT`` common documents are removed from ``REMOVE`` on, generalised from ``GENERALISE`` on.
 
 The text is read twice and never shuffled; what is shuffled are exposed terms and, for the term counts,
-a number for each term and run of rows.
+a number for each exposed term and run of rows: a bitmap of fixed size (8 MB) of the exposed terms is broadcast before.
 
 Defined results: a null text counts as empty; offsets are code points, ends exclusive; matches of one kind do not overlap, of
 different kinds they may; a match that fails its kind's test is dropped, and the search goes on behind it; a row repeated under one doc_id has equal spans.
@@ -33,6 +33,7 @@ from tidelog.llm.common import keep, same_row, signed, table, text_hash, text_pa
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, MIN_BYTES, SUPPORT, GENERALISE, REMOVE = 6, 4, 2, 0.7, 0.9
+FILTER = 1 << 26
 
 # Possessive forms of the given patterns; where one could start again inside a run of digits, a look-behind keeps the search linear.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -155,16 +156,34 @@ def _found(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("doc_id", text_hash().alias("th"), "text").mapInArrow(run, schema)
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """(term, n): the number of documents that hold each term, over all documents."""
+def term_filter(terms: DataFrame) -> np.ndarray:
+    """A bitmap of ``FILTER`` bits, one for each value of the low bits of the terms' hashes; its size is fixed."""
+    bit = F.col("term").bitwiseAND(FILTER - 1) + 1
+    made = terms.select(F.bitmap_bucket_number(bit).alias("b"), F.bitmap_bit_position(bit).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits"))
+    out = np.zeros((FILTER >> 15, 1 << 12), np.uint8)
+    for r in made.collect():
+        out[r.b - 1] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out.reshape(-1)
+
+
+def term_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(term, n): the number of documents that hold each term, over all documents, for the wanted terms and a few that share their bits.
+
+    The bitmap goes to the executors, so other terms are not shuffled, however many there are.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(term_filter(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = held.value
         for b in batches:
             for _, raw, off in text_parts(b.column(0)):
                 raw = _FOLD[raw]
                 starts, stops, row = common.word_bounds(raw, off, _OTHER)
                 long = stops - starts >= MIN_BYTES
                 h, row = word_hashes(raw, starts[long], stops[long]), row[long]
+                low = (h & np.uint64(FILTER - 1)).astype(np.int64)
+                some = (bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1
+                h, row = h[some], row[some]
                 order = np.lexsort((h, row))
                 h, row = h[order], row[order]
                 new = np.ones(len(h), bool)
@@ -183,9 +202,7 @@ def spans(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, general
     entities = found.select(F.explode("own").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     together = near.select("doc_id", "th", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= support)
     together = keep(together)
-    wanted = together.select("term").distinct()
-    terms = term_counts(docs).join(wanted, "term", "left_semi")
-    told = together.join(terms, "term").join(entities, "entity")
+    told = together.join(term_counts(docs, together.select("term")), "term").join(entities, "entity")
     information = F.log(F.lit(float(max(total, 1))) / F.col("n_e"))
     share = F.when(information > 0, F.log(F.col("n_te") / F.col("n") * F.lit(float(max(total, 1))) / F.col("n_e")) / information).otherwise(0.0)
     telling = told.withColumn("share", F.least(F.lit(1.0), share)).where(F.col("share") >= generalise).select("entity", "term", "share")
