@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.compare import assert_same, connect
-from tidelog.llm import embedding_dedup, language_id, line_dedup, mixing, near_dedup, neighbours, packing, pii, suffix_dedup, token_files
+from tidelog.llm import common, embedding_dedup, language_id, line_dedup, mixing, near_dedup, neighbours, packing, pii, suffix_dedup, token_files
 from tidelog.llm import queries as corpus
 from tidelog.llm.common import bounded_sample, keep, shared_dir
 from tidelog.llm.graph import components
@@ -74,6 +74,14 @@ def test_shared_folder_is_set(spark):
     assert shared_dir(spark) == shared_dir(spark)
 
 
+def test_release(spark, monkeypatch):
+    monkeypatch.setattr(common, "_KEPT", [])
+    df = keep(spark.range(3))
+    assert df.count() == 3 and common.release(spark) == 1 and common.release(spark) == 0
+    with pytest.raises(Exception):  # noqa: B017
+        spark.read.parquet(df.inputFiles()[0]).count()
+
+
 # --- language -------------------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 _LOCAL: dict[str, str] = {}
+_KEPT: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="tidelog-")
+        atexit.register(shutil.rmtree, _LOCAL[app], True)
         spark.sparkContext.setCheckpointDir(_LOCAL[app])
     return _LOCAL[app]
 
@@ -39,9 +43,20 @@ def keep(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _KEPT.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that this process has kept so far, once results that were read from them are stored; returns how many."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    n = len(_KEPT)
+    while _KEPT:
+        path = hadoop(_KEPT.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
