@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog.operators import fold, oplog, runs
+from tidelog.operators.ordered import last_before
 from tidelog.schemas import OP_LOG, RUN_ENTRY
 
 
@@ -100,10 +101,25 @@ def test_restart_values(spark):
     assert got == {f"k{i}": chr(ord("a") + (1000 + i) % 26) * 64 for i in range(500) if i % 5}
 
 
-def test_read_versions(spark):
+@pytest.mark.parametrize("stretch", [1, 5, 1 << 20])
+def test_last_before(spark, stretch):
+    rng = random.Random(stretch)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(40), i, rng.choice([None, i])) for i in range(120)]
+    df = spark.createDataFrame(rows, "k string, at long, id long, v long")
+    got = {r.id: r.p for r in last_before(df, ["k"], "at", F.col("v"), "p", ("id",), stretch).collect()}
+    want, last = {}, {}
+    for k, _, i, v in sorted(rows, key=lambda r: (r[1], r[2])):
+        want[i] = last.get(k)
+        if v is not None:
+            last[k] = v
+    assert got == want
+
+
+@pytest.mark.parametrize("stretch", [2, 1 << 20])
+def test_read_versions(spark, stretch):
     log = log_of(spark, [("put", "a", "1"), ("put", "b", "1"), ("append", "a", "2"), ("delete", "a", None)])
     reads = spark.createDataFrame([(1, "a", 0), (2, "a", 2), (3, "a", 3), (4, "a", 9), (5, "c", 9)], "read_id long, k string, read_idx long")
-    got = {r.read_id: (r.version, r.op) for r in fold.read_versions(log, reads).collect()}
+    got = {r.read_id: (r.version, r.op) for r in fold.read_versions(log, reads, stretch).collect()}
     assert got == {1: (None, None), 2: (1, "put"), 3: (3, "append"), 4: (4, "delete"), 5: (None, None)}
 
 

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidelog.operators.ordered import last_before
+
 HEARTBEAT_MS, ELECTION_MS, REACH_MS = 50, 300, 300
+DAY_MS = 86_400_000
 
 
 def quorum(n: Column | int) -> Column:
@@ -77,8 +80,7 @@ def leaders_per_term(leaders: DataFrame) -> DataFrame:
 
 def gaps(log: DataFrame) -> DataFrame:
     """Entries that do not follow the entry before on the same replica: (part, node_id, idx, previous)."""
-    before = F.lag("idx").over(Window.partitionBy("part", "node_id").orderBy("idx"))
-    return log.withColumn("previous", before).where(F.col("idx") != F.col("previous") + 1).select("part", "node_id", "idx", "previous")
+    return last_before(log, ["part", "node_id"], "idx", F.col("idx"), "previous").where(F.col("idx") != F.col("previous") + 1).select("part", "node_id", "idx", "previous")
 
 
 def disagreements(log: DataFrame) -> DataFrame:
@@ -139,8 +141,7 @@ def expired(pending: DataFrame, now: Column) -> DataFrame:
 
 def silences(beats: DataFrame, longest: int = ELECTION_MS) -> DataFrame:
     """Heartbeats (node_id, at_ms) that came more than ``longest`` after the one before: where an election would start."""
-    before = F.lag("at_ms").over(Window.partitionBy("node_id").orderBy("at_ms"))
-    return beats.withColumn("previous_ms", before).where(F.col("at_ms") - F.col("previous_ms") > longest).select("node_id", "previous_ms", "at_ms", (F.col("at_ms") - F.col("previous_ms")).alias("silence_ms"))
+    return last_before(beats, ["node_id"], "at_ms", F.col("at_ms"), "previous_ms", stretch=DAY_MS).where(F.col("at_ms") - F.col("previous_ms") > longest).select("node_id", "previous_ms", "at_ms", (F.col("at_ms") - F.col("previous_ms")).alias("silence_ms"))
 
 
 def sessions(beats: DataFrame, longest: int = ELECTION_MS) -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from tidelog.operators.ordered import STRETCH, last_before
 from tidelog.schemas import MUTATIONS, RESETS
 
 
@@ -39,15 +39,14 @@ def multi_get(keys: DataFrame, state: DataFrame) -> DataFrame:
     return keys.select("k").join(held, "k", "left").select("k", "v", F.when(F.col("__found"), "ok").otherwise("not_found").alias("status"))
 
 
-def read_versions(log: DataFrame, reads: DataFrame) -> DataFrame:
+def read_versions(log: DataFrame, reads: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """For reads (read_id, k, read_idx), the last mutation of the key at or before read_idx: (read_id, k, read_idx, version, op).
 
-    Log and reads form one sequence for each key, and the last value is carried forward; no read is paired with more than one row.
+    Log and reads form one sequence for each key, and the last mutation is carried forward, stretch by stretch; no read is paired with more than one row.
     """
     writes = log.where(F.col("op").isin(*MUTATIONS)).select("k", F.col("idx").alias("at"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("read_id"), F.struct("idx", "op").alias("w"))
     asks = reads.select("k", F.col("read_idx").alias("at"), F.lit(1).alias("side"), "read_id", F.lit(None).cast(writes.schema["w"].dataType).alias("w"))
-    order = Window.partitionBy("k").orderBy("at", "side", "read_id").rowsBetween(Window.unboundedPreceding, 0)
-    carried = writes.union(asks).withColumn("last", F.last("w", ignorenulls=True).over(order)).where(F.col("side") == 1)
+    carried = last_before(writes.union(asks), ["k"], "at", F.col("w"), "last", ("side", "read_id"), stretch).where(F.col("side") == 1)
     return carried.select("read_id", "k", F.col("at").alias("read_idx"), F.col("last.idx").alias("version"), F.col("last.op").alias("op"))
 
 

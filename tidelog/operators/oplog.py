@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidelog.functions.hashing import partition_for
+from tidelog.operators.ordered import STRETCH
 from tidelog.schemas import MUTATIONS
 
-#: Log positions of one stretch. A busy client's rows are dealt over stretches, so no task sorts all of them.
-STRETCH = 1 << 20
-
 
 def key_status(key: Column) -> Column:
     """'invalid' for keys that users may not write: null, empty, or with a leading zero byte; else 'ok'."""
