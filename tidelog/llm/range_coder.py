@@ -7,8 +7,7 @@ adaptive predictions: by the confidence of the order-2 entry, by the confidence
 predicted id occurred (order 0); the mix has adaptive weights in each block. Nibbles follow the order-0 distribution of the nibbles above them, the last one
 a flat one. All arithmetic is in whole numbers, so that every machine decodes alike.
 
-numpy works on all blocks of a call in step, without picking out those that need a part of it: for a block whose id is known, a nibble is coded as a
-certainty, which costs nothing. The range coder has 48 bits of low and range and moves 16 bits at a time; a carry is added to the word before,
+numpy works on all blocks of a call in step. The range coder has 48 bits of low and range and moves 16 bits at a time; a carry is added to the word before,
 and whatever exceeds 16 bits is passed on at the end.
 
 A blob: magic, block count and size, then for each block its id count, word count and checksum (crc32 of the ids as
@@ -22,11 +21,12 @@ import zlib
 
 import numpy as np
 
-MAGIC, BLOCK = b"TLR2", 1024
+MAGIC, BLOCK = b"TLR3", 1024
 _U = np.uint64
 _BITS, _TOTAL = 15, 1 << 15
 _LOW = _U((1 << 48) - 1)
-_ENTRIES, _IDS, _ROWS = 11, 10, 1 + 16 + 256  # bits of the context tables and the counts; rows of nibbles
+_ENTRIES, _IDS, _ROWS = 10, 10, 1 + 16 + 256  # bits of the context tables and the counts; rows of nibbles
+_MASK, _IDMASK = (1 << _ENTRIES) - 1, (1 << _IDS) - 1
 _RATE, _LEAST = 4, 16
 #: Where the starts of a row tend when symbol s is seen: every other symbol keeps _LEAST of the total.
 _AIM = np.array([[_LEAST * i if i <= s else _TOTAL - _LEAST * (16 - i) for i in range(16)] for s in range(16)], np.int16)
@@ -75,6 +75,17 @@ class _Range:
             rng[small] <<= _U(16)
             at[small] = who + 1
 
+    def part(self, lanes: np.ndarray) -> _Range:
+        """The coder of some lanes, by themselves; ``put`` brings them back."""
+        some = object.__new__(_Range)
+        some.decoding, some.words, some.flat = self.decoding, self.words, self.flat
+        some.range, some.low, some.at = self.range[lanes], self.low[lanes], self.at[lanes]
+        self.some = some
+        return some
+
+    def put(self, lanes: np.ndarray) -> None:
+        self.range[lanes], self.low[lanes], self.at[lanes] = self.some.range, self.some.low, self.some.at
+
     def finish(self) -> np.ndarray:
         """Writes what is left and returns the number of words of each lane."""
         for _ in range(3):
@@ -97,37 +108,38 @@ def _run(rc: _Range, counts: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
     table1, table2 = np.zeros(lanes << _ENTRIES, np.int32), np.zeros(lanes << _ENTRIES, np.int32)  # predicted id * 8 + confidence
     seen = np.zeros(lanes << _IDS, np.uint8)
     guess = np.full(lanes * 64, _TOTAL // 2, np.int32)  # order 0: 16 cells, order 1: 16, order 2: 8, second answer: 16
-    weight = np.repeat(np.array([[1 << 12], [1 << 12], [1 << 13]], np.int64), lanes, 1)
+    weight = np.repeat(np.array([[1 << 12], [1 << 12], [1 << 13]], np.int32), lanes, 1)
     starts = np.tile(np.arange(16, dtype=np.int16) << 11, (lanes * _ROWS + 1, 1))
     cells, flat = starts.view("V32").reshape(-1), starts.reshape(-1)
-    shape = np.array([[0], [16], [32]])
-    last1, last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    mask, idmask = (1 << _ENTRIES) - 1, (1 << _IDS) - 1
-    at_entry, at_id, at_guess, at_row = lane << _ENTRIES, lane << _IDS, lane * 64, lane * _ROWS
+    at_entry, at_id, at_row = lane << _ENTRIES, lane << _IDS, lane * _ROWS
+    at_guess = lane * 64 + np.array([[0], [16], [32], [48]])
+    last1, h1 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     m = lanes
     for t in range(steps):
         if counts[m - 1] <= t:
             m = int(np.searchsorted(-counts, -t, "left"))
-        l1, l2, row0 = last1[:m], last2[:m], at_row[:m]
-        h = l1 * 0x9E3779B1
-        at1 = at_entry[:m] + ((h >> 7) & mask)
-        at2 = at_entry[:m] + (((h + l2 * 0x85EBCA6B) >> 9) & mask)
+        h = last1[:m] * 0x9E3779B1
+        at1 = (h >> 7) & _MASK
+        at2 = ((h + h1[:m]) >> 9) & _MASK
+        at1 += at_entry[:m]
+        at2 += at_entry[:m]
+        h1[:m] = (h >> 3) * 5
         e1, e2 = table1.take(at1), table2.take(at2)
         g1, g2, c1, c2 = e1 >> 3, e2 >> 3, e1 & 7, e2 & 7
-        same = g1 == g2
         # the mix for "the order-2 guess is right"
-        where = np.empty((3, m), np.int64)
-        where[0] = _LOG.take(seen.take(at_id[:m] + (g2 & idmask)))
-        where[1] = c1 + 8 * same
-        where[2] = c2
-        where += at_guess[:m]
-        where += shape
+        where = at_guess[:, :m].copy()
+        where[0] += _LOG.take(seen.take(at_id[:m] + (g2 & _IDMASK)))
+        where[1] += c1
+        where[1] += (g1 == g2) << 3
+        where[2] += c2
+        where[3] += c1
         p, w = guess.take(where), weight[:, :m]
-        mixed = np.minimum(np.maximum((p * w).sum(0) // w.sum(0), 32), _TOTAL - 4096)
-        at_q = at_guess[:m] + 48 + c1
-        q = guess.take(at_q)
-        second = np.where(same, 0, np.maximum((_TOTAL - mixed) * q >> _BITS, 16))
-        second = np.minimum(second, _TOTAL - 2048 - mixed)
+        q = p[3]
+        p = p[:3]
+        mixed = (p * (w >> 3)).sum(0, dtype=np.int32) // (w >> 3).sum(0, dtype=np.int32)
+        np.minimum(np.maximum(mixed, 32, out=mixed), _TOTAL - 4096, out=mixed)
+        second = (_TOTAL - mixed) * q >> _BITS
+        np.minimum(np.maximum(second, 16, out=second), _TOTAL - 2048 - mixed, out=second)
         both = mixed + second
         if ids is None:
             v = rc.value(m)
@@ -135,58 +147,67 @@ def _run(rc: _Range, counts: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
             hit = v < both
             x = np.where(hit2, g2, g1).astype(np.int64)
         else:
-            x = ids[t, :m]
+            x = ids[t, :m].copy()
             hit2 = g2 == x
-            hit = hit2 | ((g1 == x) & (second > 0))
+            hit = hit2 | (g1 == x)
         low = np.where(hit2, 0, np.where(hit, mixed, both))
-        high = np.where(hit2, mixed, np.where(hit, both, _TOTAL))
-        rc.take(m, low, high - low)
-        toward = hit2 * np.int32(_TOTAL - 1)
-        guess[where] = p + ((toward - p) >> 4)
-        guess[at_q] = q + ((hit * np.int32(_TOTAL - 1) - q) >> 4) * ~hit2
-        w += ((p - mixed) * (2 * hit2.astype(np.int64) - 1)) >> 5
-        np.maximum(w, 256, out=w)
-        np.minimum(w, 1 << 15, out=w)
-        # nibbles; certain where the id is known
-        done = 0
-        for k in range(4):
-            if k == 3:
-                if ids is None:
-                    s = np.where(hit, x & 15, rc.value(m) >> 11)
-                else:
-                    s = x & 15
-                start, freq = s << 11, _TOTAL >> 4
-            else:
-                row = row0 if k == 0 else row0 + (1 if k == 1 else 17) + done
-                if ids is None:
-                    got = cells.take(row).view(np.int16).reshape(m, 16)
-                    below = (got <= rc.value(m).astype(np.int16)[:, None]).view(_U)
-                    s = np.where(hit, (x >> (12 - 4 * k)) & 15, (((below[:, 0] + below[:, 1]) * _ONES) >> _U(56)).view(np.int64) - 1)
-                else:
-                    s = (x >> (12 - 4 * k)) & 15
-                    got = cells.take(row).view(np.int16).reshape(m, 16)
-                place = (row << 4) + s
-                start = flat.take(place).astype(np.int64)
-                end = flat.take(place + 1).astype(np.int64)
-                freq = np.where(s == 15, _TOTAL, end) - start
-                cells[row] = (got + ((_AIM.take(s, 0) - got) >> _RATE)).view("V32").reshape(m)
-            start = np.where(hit, 0, start)
-            rc.take(m, start, np.where(hit, _TOTAL, freq))
-            done = s if k == 0 else (done << 4) | s
+        rc.take(m, low.astype(np.int64), np.where(hit2, mixed, np.where(hit, second, _TOTAL - both)).astype(np.int64))
+        toward = np.empty((4, m), np.int32)
+        toward[:3] = hit2 * np.int32(_TOTAL - 1)
+        toward[3] = np.where(hit2, q, hit * np.int32(_TOTAL - 1))
+        toward[:3] -= p
+        toward[3] -= q
+        if t & 3 == 0:
+            w += ((p - mixed) >> 5) * (2 * hit2.astype(np.int32) - 1)
+            np.minimum(np.maximum(w, 256, out=w), 1 << 15, out=w)
+        toward >>= 4
+        toward[:3] += p
+        toward[3] += q
+        guess[where] = toward
+        rest = np.flatnonzero(~hit)
+        if len(rest):
+            x[rest] = _nibbles(rc.part(rest), at_row[rest], cells, flat, None if ids is None else x[rest])
+            rc.put(rest)
         if ids is None:
-            x = done
             out[t, :m] = x
-        new = x.astype(np.int32) << 3
-        right1, right2 = g1 == x, g2 == x
-        table1[at1] = np.where(right1, np.minimum(e1 + 1, new | 7), np.where(c1 > 1, (g1 << 3) | (c1 >> 1), new))
-        table2[at2] = np.where(right2, np.minimum(e2 + 1, new | 7), np.where(c2 > 1, (g2 << 3) | (c2 >> 1), new))
-        n = at_id[:m] + (x & idmask)
+        new = x.astype(np.int32)
+        fresh = new << 3
+        table1[at1] = fresh + (g1 == new) * np.minimum(c1 + 1, 7)
+        table2[at2] = fresh + (g2 == new) * np.minimum(c2 + 1, 7)
+        n = at_id[:m] + (x & _IDMASK)
         seen[n] = np.minimum(seen.take(n), 254) + 1
-        last2[:m] = l1
         last1[:m] = x
     return out
 
 
+def _nibbles(rc: _Range, row0: np.ndarray, cells: np.ndarray, flat: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
+    """Codes ids of some lanes, a nibble at a time from the top, the last one flat; returns them."""
+    m = len(row0)
+    done = np.zeros(m, np.int64)
+    for k, first in enumerate((0, 1, 17)):
+        row = row0 + done
+        row += first
+        got = cells.take(row).view(np.int16).reshape(m, 16)
+        if ids is None:
+            below = (got <= rc.value(m).astype(np.int16)[:, None]).view(_U)
+            s = (((below[:, 0] + below[:, 1]) * _ONES) >> _U(56)).view(np.int64)
+            s -= 1
+        else:
+            s = (ids >> (12 - 4 * k)) & 15
+        place = (row << 4) + s
+        start = flat.take(place).astype(np.int64)
+        place += 1
+        freq = ((flat.take(place).astype(np.int64) - 1) & (_TOTAL - 1)) + 1 - start  # behind the last symbol lies the next row's 0
+        got += (_AIM.take(s, 0) - got) >> _RATE
+        cells[row] = got.view("V32").reshape(m)
+        rc.take(m, start, freq)
+        done <<= 4
+        done += s
+    s = rc.value(m) >> 11 if ids is None else ids & 15
+    rc.take(m, s << 11, np.full(m, _TOTAL >> 4))
+    return (done << 4) + s
+
+
 def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     """Codes ids in blocks of ``block``; none give a blob without blocks."""
     ids = np.asarray(ids, np.int64)

@@ -14,6 +14,7 @@ Defined results: a null text has the end id alone; a null doc_id comes first; ro
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -29,7 +30,8 @@ from pyspark.sql.window import Window
 from tidelog.llm import range_coder
 from tidelog.llm.common import lists, shared_dir, table, text_hash
 
-END, SEGMENT, REMEMBERED = 2, 1 << 20, 300_000
+END, SEGMENT, REMEMBERED = 2, 1 << 21, 400_000
+_SHORT = 64
 _SCHEMA = "part int, seg int, doc_ids array<long>, counts array<long>, n_ids long, blob binary"
 
 
@@ -45,21 +47,27 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = list(set(chain.from_iterable(parts)).difference(self.known))
-        if len(self.known) + len(missing) > self.remembered:
-            missing = list(set(chain.from_iterable(parts)))
-            self.known = {}
+        here = {c: self.known.get(c) for c in set(chain.from_iterable(parts))}
+        missing = [c for c, ids in here.items() if ids is None]
         for chunk, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self.known[chunk] = e.ids
-        get = self.known.__getitem__
+            here[chunk] = e.ids
+            if len(self.known) < self.remembered and len(chunk) <= _SHORT:  # frequent chunks come early, so a full table stays as it is
+                self.known[chunk] = e.ids
+        get = here.__getitem__
         return [np.fromiter(chain.from_iterable(map(get, p)), np.int64) for p in parts]
 
 
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, so that its table serves all tasks."""
+    return Encoder(path)
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, segment: int = SEGMENT) -> None:
     """Writes the files of docs (doc_id, text) to a new folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seg = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        coder, part, seg = encoder(tokenizer), TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
         docs_: list[int | None] = []
 
@@ -75,7 +83,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, segment: i
         for b in batches:
             for lo in range(0, b.num_rows, 64):
                 texts = pc.fill_null(b.column(1).slice(lo, 64), "").to_pylist()
-                for doc, x in zip(b.column(0).slice(lo, 64).to_pylist(), encoder.encode(texts), strict=True):
+                for doc, x in zip(b.column(0).slice(lo, 64).to_pylist(), coder.encode(texts), strict=True):
                     ids.append(np.append(x, end))
                     docs_.append(doc)
                     held += len(x) + 1
