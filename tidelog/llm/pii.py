@@ -33,7 +33,7 @@ from tidelog.llm.common import keep, same_row, signed, table, text_hash, text_pa
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, MIN_BYTES, SUPPORT, GENERALISE, REMOVE = 6, 4, 2, 0.7, 0.9
-FILTER = 1 << 26
+FILTER, _SUMMED = 1 << 26, 1 << 20
 
 # Possessive forms of the given patterns; where one could start again inside a run of digits, a look-behind keeps the search linear.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -175,6 +175,12 @@ def term_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
+        terms, counts, waiting = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            term, at = np.unique(np.concatenate(terms), return_inverse=True)
+            return term, np.bincount(at, weights=np.concatenate(counts), minlength=len(term)).astype(np.int64)
+
         for b in batches:
             for _, raw, off in text_parts(b.column(0)):
                 raw = _FOLD[raw]
@@ -189,7 +195,14 @@ def term_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
                 term, n = np.unique(h[new], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(term)), pa.array(n, pa.int64())], ["term", "n"])
+                terms.append(term)
+                counts.append(n)
+                waiting += len(term)
+                if waiting > _SUMMED:
+                    term, n = summed()
+                    terms, counts, waiting = [term], [n], len(term) // 2
+        term, n = summed()
+        yield pa.RecordBatch.from_arrays([pa.array(signed(term)), pa.array(n, pa.int64())], ["term", "n"])
 
     return docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
@@ -201,11 +214,16 @@ def spans(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, general
     total = found.count()
     entities = found.select(F.explode("own").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     together = near.select("doc_id", "th", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= support)
-    together = keep(together)
-    told = together.join(term_counts(docs, together.select("term")), "term").join(entities, "entity")
-    information = F.log(F.lit(float(max(total, 1))) / F.col("n_e"))
-    share = F.when(information > 0, F.log(F.col("n_te") / F.col("n") * F.lit(float(max(total, 1))) / F.col("n_e")) / information).otherwise(0.0)
-    telling = told.withColumn("share", F.least(F.lit(1.0), share)).where(F.col("share") >= generalise).select("entity", "term", "share")
+    exposed_in = near.select("doc_id", "th", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    every = F.lit(float(max(total, 1)))
+    information = F.log(every / F.col("n_e"))
+
+    def share(n: str) -> Column:
+        return F.when(information > 0, F.least(F.lit(1.0), F.log(F.col("n_te") / F.col(n) * every / F.col("n_e")) / information)).otherwise(0.0)
+
+    # a term is in at least as many documents as it is exposed in: what fails by that number needs no count over the corpus
+    possible = keep(together.join(entities, "entity").join(exposed_in, "term").where(share("n_near") >= generalise))
+    telling = possible.join(term_counts(docs, possible.select("term")), "term").withColumn("share", share("n")).where(F.col("share") >= generalise).select("entity", "term", "share")
     marked = near.join(telling, ["entity", "term"]).groupBy("doc_id", "th", "s", "e").agg(F.max("share").alias("share"))
     per_row = marked.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.sort_array(F.collect_list(F.struct("s", "e", (F.col("share") >= remove).alias("removed")))).alias("terms"))
     out = found.select("doc_id", "th", "base").join(per_row, same_row(found, per_row, "doc_id", "th", "__id", "__th"), "left")
