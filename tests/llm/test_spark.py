@@ -388,6 +388,35 @@ def test_disclosing_terms(spark):
     assert pii.sanitise(df).columns == df.columns
 
 
+def test_telling_terms_far_from_the_entity_and_without_it(spark):
+    far = "Zebulon said this " + "our client wrote about weather and spoke " * 20
+    texts = [f"{far} zeb@mail.example and ZEBULON" for _ in range(9)] + [f"{far[8:]} we met zebulon here"] + ["our client said this and wrote about weather and spoke and we met here"] * 90
+    by = {r.doc_id: r for r in pii.spans(docs(spark, texts)).collect()}
+    found = lambda i: [texts[i - 1][t.s : t.e] for t in by[i].terms]
+    assert all(found(i) == ["Zebulon", "ZEBULON"] for i in range(1, 10)) and found(10) == ["zebulon"]
+    assert not any(found(i) for i in range(11, 101))
+
+
+def test_telling_terms_equal_plain_counts(spark):
+    rng = random.Random(5)
+    words = [f"wort{chr(97 + i)}" for i in range(26)] + ["élan", "𝄞𝄞", "abc"]
+    texts = [" ".join(rng.choice(words) if rng.random() < 0.8 else f"p{rng.randrange(5)}@ex.org" for _ in range(rng.randrange(1, 7))) for _ in range(80)]
+    rows = [(pii.base_spans(t), t) for t in texts]
+    apart = [[(m.start(), m.end(), m.group().lower()) for m in pii._TERM.finditer(t) if len(m.group().encode()) >= 4 and not any(m.start() < e and s < m.end() for _, s, e in b)] for b, t in rows]
+    own = [{t[s:e].lower() for _, s, e in b} for b, t in rows]
+    anywhere = [{m.group().lower() for m in pii._TERM.finditer(t)} for t in texts]
+    n, telling = len(texts) + 1, {}
+    for e in set().union(*own):
+        n_e = sum(e in o for o in own)
+        for t in {w for a in apart for *_, w in a}:
+            n_te, n_t = sum(e in o and any(w == t for *_, w in a) for o, a in zip(own, apart, strict=True)), sum(t in a for a in anywhere)
+            if n_te >= 2:
+                telling[t] = max(telling.get(t, 0), np.log(n_te / n_t * n / n_e) / np.log(n / n_e))
+    want = {i + 1: [(s, e, telling[w] >= 0.6) for s, e, w in a if telling.get(w, 0) >= 0.4] for i, a in enumerate(apart)}
+    got = {r.doc_id: [tuple(t) for t in r.terms] for r in pii.spans(docs(spark, texts), generalise=0.4, remove=0.6).collect() if r.doc_id}
+    assert got == want and any(want.values())
+
+
 def test_term_counts(spark):
     df = docs(spark, ["Alpha beta alpha", "ALPHA gammas", "betas", None, "alpha2beta"])
     names = ["alpha", "beta", "gammas", "none"]

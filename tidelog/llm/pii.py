@@ -1,14 +1,17 @@
-"""Personal data: patterns, and the terms around them that would give them away.
+"""Personal data: patterns, and the terms that would give them away.
 
 Base spans come from patterns: email, ip, card and phone. The protected entities are the distinct values that they
-hold. Terms are runs of letters (ASCII case folded) of at least ``MIN_BYTES`` bytes; those among the ``WINDOW`` nearest on
-either side of a base span are exposed. Over the whole corpus three document counts are taken: of each entity, of each exposed
-term (anywhere), and of both close together. The disclosure of entity e by term t is the pointwise mutual information as a share of
-the entity's information, log(p(e|t) / p(e)) / -log p(e): 1 if the term occurs with the entity only, 0 if it says
-nothing. Exposed terms of at least ``SUPPORT`` common documents are removed from ``REMOVE`` on, generalised from ``GENERALISE`` on.
+hold. Terms are runs of letters (ASCII case folded) of at least ``MIN_BYTES`` bytes that touch no base span. Over the whole corpus three
+document counts are taken: of each entity, of each term (anywhere), and of both in one document, wherever they stand in it. The disclosure of
+entity e by term t is the pointwise mutual information as a share of the entity's information, log(p(e|t) / p(e)) / -log p(e): 1 if the
+term occurs with the entity only, 0 if it says nothing. Terms of at least ``SUPPORT`` common documents are removed from ``REMOVE`` on,
+generalised from ``GENERALISE`` on, at every place of the corpus where they stand, also in documents without a base span.
 
-The text is read twice and never shuffled; what is shuffled are exposed terms and, for the term counts,
-a number for each exposed term and run of rows: a bitmap of fixed size (8 MB) of the exposed terms is broadcast before.
+Pairs are ruled out by exact bounds before they are made: common documents are no more than the entity's, and a term is in at least as many
+documents as it is found in beside any entity, so one too frequent for every entity of a document is not paired there.
+
+The text is read three times and never shuffled; what is shuffled are the terms of documents that hold an entity of enough documents, a
+number for each such term and run of rows, and the places of telling terms: a bitmap of fixed size (8 MB) of the terms is broadcast before.
 
 Defined results: a null text counts as empty; offsets are code points, ends exclusive; matches of one kind do not overlap, of
 different kinds they may; a match that fails its kind's test is dropped, and the search goes on behind it; a row repeated under one doc_id has equal spans.
@@ -32,7 +35,7 @@ from tidelog.llm import common
 from tidelog.llm.common import keep, same_row, signed, table, text_hash, text_parts, word_hashes
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, MIN_BYTES, SUPPORT, GENERALISE, REMOVE = 6, 4, 2, 0.7, 0.9
+MIN_BYTES, SUPPORT, GENERALISE, REMOVE = 4, 2, 0.7, 0.9
 FILTER, _SUMMED = 1 << 26, 1 << 20
 
 # Possessive forms of the given patterns; where one could start again inside a run of digits, a look-behind keeps the search linear.
@@ -130,32 +133,71 @@ def term_hash(terms: list[str]) -> np.ndarray:
     return signed(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
 
-def _found(docs: DataFrame, window: int) -> DataFrame:
-    """doc_id, th, base array<struct<k,s,e>>, near array<struct<entity,term,s,e>>, of every row."""
+def free_terms(text: bytes, spans: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of every term of a text that touches no base span."""
+    raw = np.frombuffer(text, np.uint8)
+    folded = _FOLD[raw]
+    starts, stops, _ = common.word_bounds(folded, np.array([0, len(raw)]), _OTHER)
+    long = stops - starts >= MIN_BYTES
+    starts, stops = starts[long], stops[long]
+    point = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum((raw & 0xC0) != 0x80, out=point[1:])
+    s, e = point[starts], point[stops]
+    taken = sorted((a, b) for _, a, b in spans)
+    i = np.searchsorted(np.array([a for a, _ in taken], np.int64), e) - 1
+    reach = np.maximum.accumulate(np.array([0, *(b for _, b in taken)], np.int64))
+    free = reach[i + 1] <= s
+    return signed(word_hashes(folded, starts[free], stops[free])), s[free], e[free]
+
+
+def _found(docs: DataFrame) -> DataFrame:
+    """doc_id, th, base array<struct<k,s,e>>, own (the entities) of every row, and the different terms of those that hold an entity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = pc.fill_null(b.column(2), "").to_pylist()
             for lo in range(0, len(text), 256):
                 part = [base_spans(t) for t in text[lo : lo + 256]]
-                near: list[list[dict[str, int]]] = [[] for _ in part]
-                flat: list[tuple[int, int, int, int, str]] = []
-                for i, spans in enumerate(part):
-                    if spans:
-                        t = text[lo + i]
-                        who = [entity(k, t[s:e]) for k, s, e in spans]
-                        flat += [(i, who[k], s, e, term) for k, s, e, term in exposed(t, spans, window)]
-                for (i, who_, s, e, _), h in zip(flat, term_hash([f[4] for f in flat]).tolist(), strict=True):
-                    near[i].append({"entity": who_, "term": h, "s": s, "e": e})
                 base = pa.array([[{"k": k, "s": s, "e": e} for k, s, e in spans] for spans in part], pa.list_(pa.struct([("k", pa.int32()), ("s", pa.int32()), ("e", pa.int32())])))
                 own = pa.array([sorted({entity(k, text[lo + i][s:e]) for k, s, e in spans}) for i, spans in enumerate(part)], pa.list_(pa.int64()))
-                around = pa.array(near, pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("s", pa.int32()), ("e", pa.int32())])))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(part)), b.column(1).slice(lo, len(part)), base, own, around], ["doc_id", "th", "base", "own", "near"])
+                terms = pa.array([np.unique(free_terms(text[lo + i].encode(), spans)[0]) if spans else [] for i, spans in enumerate(part)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(part)), b.column(1).slice(lo, len(part)), base, own, terms], ["doc_id", "th", "base", "own", "terms"])
 
-    schema = "doc_id long, th long, base array<struct<k:int,s:int,e:int>>, own array<long>, near array<struct<entity:long,term:long,s:int,e:int>>"
+    schema = "doc_id long, th long, base array<struct<k:int,s:int,e:int>>, own array<long>, terms array<long>"
     return docs.select("doc_id", text_hash().alias("th"), "text").mapInArrow(run, schema)
 
 
+def _in_filter(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    low = (h & np.uint64(FILTER - 1)).astype(np.int64)
+    return (bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1
+
+
+def places(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, th, term, s, e): where the wanted terms, and a few that share their bits, stand free of base spans, over all documents."""
+    held = docs.sparkSession.sparkContext.broadcast(term_filter(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = held.value
+        for b in batches:
+            for lo, raw, off in text_parts(b.column(2)):
+                folded = _FOLD[raw]
+                starts, stops, row = common.word_bounds(folded, off, _OTHER)
+                long = stops - starts >= MIN_BYTES
+                some = _in_filter(bits, word_hashes(folded, starts[long], stops[long]))
+                rows, out = np.unique(row[long][some]).tolist(), []
+                for i in rows:
+                    text = raw[off[i] : off[i + 1]].tobytes()
+                    h, s, e = free_terms(text, base_spans(text.decode()))
+                    ok = _in_filter(bits, h.view(np.uint64))
+                    out.append((h[ok], s[ok], e[ok]))
+                if out:
+                    n = np.repeat(np.array(rows, np.int64) + lo, [len(h) for h, _, _ in out])
+                    h, s, e = (np.concatenate(c) for c in zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(n)), b.column(1).take(pa.array(n)), pa.array(h), pa.array(s, pa.int32()), pa.array(e, pa.int32())], ["doc_id", "th", "term", "s", "e"])
+
+    return docs.select("doc_id", text_hash().alias("th"), "text").mapInArrow(run, "doc_id long, th long, term long, s int, e int")
+
+
 def term_filter(terms: DataFrame) -> np.ndarray:
     """A bitmap of ``FILTER`` bits, one for each value of the low bits of the terms' hashes; its size is fixed."""
     bit = F.col("term").bitwiseAND(FILTER - 1) + 1
@@ -187,8 +229,7 @@ def term_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 starts, stops, row = common.word_bounds(raw, off, _OTHER)
                 long = stops - starts >= MIN_BYTES
                 h, row = word_hashes(raw, starts[long], stops[long]), row[long]
-                low = (h & np.uint64(FILTER - 1)).astype(np.int64)
-                some = (bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1
+                some = _in_filter(bits, h)
                 h, row = h[some], row[some]
                 order = np.lexsort((h, row))
                 h, row = h[order], row[order]
@@ -207,24 +248,38 @@ def term_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def spans(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def spans(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """doc_id, th, base and terms (array of struct s, e, removed) of every row."""
-    found = keep(_found(docs, window))
-    near = found.select("doc_id", "th", F.explode("near").alias("o")).select("doc_id", "th", "o.*").distinct()
+    found = keep(_found(docs).withColumn("row", F.monotonically_increasing_id()))
     total = found.count()
-    entities = found.select(F.explode("own").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    together = near.select("doc_id", "th", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= support)
-    exposed_in = near.select("doc_id", "th", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
     every = F.lit(float(max(total, 1)))
     information = F.log(every / F.col("n_e"))
 
     def share(n: str) -> Column:
         return F.when(information > 0, F.least(F.lit(1.0), F.log(F.col("n_te") / F.col(n) * every / F.col("n_e")) / information)).otherwise(0.0)
 
-    # a term is in at least as many documents as it is exposed in: what fails by that number needs no count over the corpus
-    possible = keep(together.join(entities, "entity").join(exposed_in, "term").where(share("n_near") >= generalise))
-    telling = possible.join(term_counts(docs, possible.select("term")), "term").withColumn("share", share("n")).where(F.col("share") >= generalise).select("entity", "term", "share")
-    marked = near.join(telling, ["entity", "term"]).groupBy("doc_id", "th", "s", "e").agg(F.max("share").alias("share"))
+    def within(n_e: str) -> Column:
+        """Whether a term of n_held documents can reach the threshold for an entity of n_e, if all of the entity's documents held it."""
+        return F.log(every / F.col("n_held")) >= generalise * F.log(every / F.col(n_e)) - 1e-9
+
+    with_own = found.where(F.size("own") > 0)
+    one_each = with_own.groupBy("doc_id", "th").agg(F.min("row").alias("row")).select("row")
+    # common documents are no more than the entity's
+    entities = with_own.select(F.explode("own").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where((F.col("n_e") >= support) & (information > 0))
+    # what is aggregated is kept, so that the joins are of plain exchanges, whose hot keys Spark can split
+    holders = keep(with_own.select("row", F.explode("own").alias("entity")).join(keep(entities), "entity").join(keep(one_each), "row", "left_semi"))
+    most = keep(holders.groupBy("row").agg(F.max("n_e").alias("most")))
+    beside = keep(with_own.select("row", "terms").join(most, "row"))
+    each = beside.select("row", "most", F.explode("terms").alias("term"))
+    # a term is in at least as many documents as it is found in here: what fails by that number needs no pair and no count over the corpus
+    held = keep(each.groupBy("term").agg(F.count(F.lit(1)).alias("n_held")).where(F.col("n_held") >= support))
+    near = each.join(held, "term").where(within("most")).select("row", "term", "n_held")
+    pairs = near.join(holders, "row").where(within("n_e"))
+    together = pairs.groupBy("entity", "term", "n_e", "n_held").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= support)
+    possible = keep(together.where(share("n_held") >= generalise))
+    shares = possible.join(term_counts(docs, possible.select("term")), "term").withColumn("share", share("n")).where(F.col("share") >= generalise)
+    telling = keep(shares.groupBy("term").agg(F.max("share").alias("share")))
+    marked = places(docs, telling).join(telling, "term").select("doc_id", "th", "s", "e", "share").distinct()
     per_row = marked.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.sort_array(F.collect_list(F.struct("s", "e", (F.col("share") >= remove).alias("removed")))).alias("terms"))
     out = found.select("doc_id", "th", "base").join(per_row, same_row(found, per_row, "doc_id", "th", "__id", "__th"), "left")
     empty = F.array().cast("array<struct<s:int,e:int,removed:boolean>>")
