@@ -239,6 +239,16 @@ def test_mixing_awkward(spark, awkward, none):
     assert len(again) == 1
 
 
+def test_mixing_learns_what_it_scores(spark):
+    texts = ["ALPHA words", "beta words"] * 6
+    lab = labels(spark, [(i + 1, (i + 1) % 2, 0) for i in range(10)])
+    lower = docs(spark, [t.lower() for t in texts])
+    models = [mixing.fit_classifier(df, lab) for df in (docs(spark, texts), lower)]
+    assert np.allclose(models[0].weights, models[1].weights)
+    by = {r.doc_id: r.posterior for r in mixing.memberships(docs(spark, [*texts, "alpha WORDS"]), models[0]).collect()}
+    assert np.allclose(by[13], by[1]) and max(by[1]) > 0.9 and max(by[2]) > 0.9 and np.argmax(by[1]) != np.argmax(by[2])
+
+
 # --- packing ------------------------------------------------------------------------------------------------------------
 
 

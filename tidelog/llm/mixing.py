@@ -99,7 +99,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, sample_per_domain: int =
         return Classifier(names, prior, np.zeros((1, 1)))
     chosen = bounded_sample(named.withColumnRenamed("doc_id", "__id"), "domain", "__id", sample_per_domain)
     rows = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["__id"]).where("text is not null")
-    rows = rows.select("domain", "text", "doc_id").dropDuplicates(["doc_id"])
+    rows = rows.select("domain", F.lower("text").alias("text"), "doc_id").dropDuplicates(["doc_id"])
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
