@@ -132,6 +132,21 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def least_cosines(cos: np.ndarray, bins: np.ndarray, enough: int = 20) -> np.ndarray:
+    """The least training cosine of each length; a length of too few texts takes the nearest length that has enough, or its own least if that is lower.
+
+    Cosines fall as texts get shorter, so lengths below all that have enough keep the least of all texts.
+    """
+    own = np.array([cos[bins == b].min() if (bins == b).any() else np.inf for b in range(_BINS)])
+    filled = np.flatnonzero(np.bincount(bins, minlength=_BINS) >= enough)
+    if not len(filled):
+        return np.full(_BINS, cos.min())
+    near = filled[np.abs(np.arange(_BINS)[:, None] - filled).argmin(1)]
+    low = np.minimum(own, own[near])
+    low[: filled[0]] = cos.min()
+    return low
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -181,7 +196,7 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", ident: str = "
             return pd.DataFrame({"lang": [], "c": [], "floor": []})
         c = spherical_kmeans(x, centroids)
         cos, bins = (x @ c.T).max(1), _bin(letters)
-        low = np.array([cos[bins == b].min() if (bins == b).sum() >= 20 else cos.min() for b in range(_BINS)])
+        low = least_cosines(cos, bins)
         return pd.DataFrame({"lang": [pdf["__lang"].iloc[0]], "c": [c.astype("<f4").tobytes()], "floor": [(low * slack).astype("<f8").tobytes()]})
 
     made = sorted(sample.groupBy("__lang").applyInPandas(cluster, "lang string, c binary, floor binary").collect(), key=lambda r: r.lang)
