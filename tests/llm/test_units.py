@@ -312,7 +312,77 @@ def test_coder_finds_damage():
     with pytest.raises(ValueError):
         range_coder.decode(bytes(blob[:-1]))
     with pytest.raises(ValueError):
-        range_coder.encode(np.array([70000]))
+        range_coder.encode(np.array([range_coder.MOST_IDS]))
+
+
+def test_coder_takes_large_alphabets_and_several_blocks():
+    x = np.random.default_rng(6).zipf(1.3, 30_000) * 7 % range_coder.MOST_IDS
+    for block in (1000, 7000, range_coder.BLOCK):
+        assert (range_coder.decode(range_coder.encode(x, block)) == x).all()
+
+
+def test_coder_beats_static_order_0_and_zlib():
+    """On the ids of the given documents, by the mix of all three orders; without the lists of orders 1 and 2 it needs more."""
+    import public_tokenizers
+    import pyarrow.parquet as pq
+    import zlib
+
+    from tidelog.llm import token_files
+
+    text = pq.read_table("/root/testdata/sf0.01/documents.parquet").sort_by("doc_id")["text"]
+    coder = token_files.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    ids = np.concatenate([coder.encode(raw, off)[0] for _, raw, off in common.text_parts(text)])[: 1 << 20]
+    blob = range_coder.encode(ids)
+    assert (range_coder.decode(blob) == ids).all()
+    share = np.bincount(ids) / len(ids)
+    share = share[share > 0]
+    assert len(blob) < -(share * np.log2(share)).sum() / 8 * len(ids) and len(blob) < len(zlib.compress(ids.astype("<u2").tobytes(), 9))
+    keep = range_coder._Followers.learn
+    try:
+        range_coder._Followers.learn = lambda *_: None
+        assert len(range_coder.encode(ids)) > 1.03 * len(blob)
+    finally:
+        range_coder._Followers.learn = keep
+
+
+def test_words_are_encoded_as_the_library_does():
+    """Real texts, and words of every length about the table's key of 15 bytes, by words and by whole texts, with a table that is emptied often."""
+    import public_tokenizers
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    from tidelog.llm import token_files
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()]
+    texts += ["", " ", "x", "it's İstanbul's 3rd ﬁne-day", "é" * 9, "don't,we'll", "a\x00b a\x00", "<|endoftext|>", "x<|startoftext|>y", *("z" * k + "," * j for k in range(12, 20) for j in range(3))]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    for remembered in (50, 100_000):
+        coder = token_files.Encoder(path, remembered=remembered)
+        assert coder.by_words
+        for most in (200, 1 << 20):
+            at = 0
+            for _, raw, off in common.text_parts(pa.array(texts), most=most):
+                ids, n = coder.encode(raw, off)
+                for part in np.split(ids, np.cumsum(n)[:-1]):
+                    assert part.tolist() == want[at], texts[at]
+                    at += 1
+            assert at == len(texts)
+
+
+def test_other_tokenizers_encode_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tidelog.llm import token_files
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, coder = Tokenizer.from_file(path), token_files.Encoder(path)
+    texts = ["two  words\nand a line ", "", " é"]
+    (_, raw, off), = common.text_parts(pa.array(texts))
+    ids, n = coder.encode(raw, off)
+    assert not coder.by_words and [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 # --- mixing ---------------------------------------------------------------------------------------------------
