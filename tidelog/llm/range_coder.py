@@ -28,8 +28,8 @@ import zlib
 
 import numpy as np
 
-MAGIC, BLOCK = b"TLR4", 1 << 21
-LANES, SHORT, FIRST, EACH = 4096, 128, 256, 4  # most lanes; least ids a lane; lanes of the first steps, and the steps before each doubling
+MAGIC, BLOCK = b"TLR4", 1 << 22
+LANES, SHORT, FIRST, EACH = 8192, 128, 256, 4  # most lanes; least ids a lane; lanes of the first steps, and the steps before each doubling
 _LOW, _HALF, _WORD = (1 << 56) - 1, 1 << 40, 0xFFFF
 _ROWS1, _ROWS2 = 1 << 16, 1 << 18
 _ROOM = 64  # words that 16 steps may need, and some

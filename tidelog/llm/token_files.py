@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 from tidelog.llm import range_coder
 from tidelog.llm.common import _M1, _MASK, _SPACE, lists, mix64, shared_dir, table, text_hash, text_parts
 
-END, SEGMENT, REMEMBERED = 2, 1 << 21, 2_000_000
+END, SEGMENT, REMEMBERED = 2, 1 << 22, 2_000_000
 _UPTO = _MASK  # of eight bytes, the first n
 # The normaliser and pre-tokenizer of the file as it must be for words to be encoded by themselves (fixed values of the tokenizer's format).
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
