@@ -210,3 +210,19 @@ def test_recovery_equals_model(spark):
         flushed.append(runs.flush(log, [F.col("idx")], 0, n))
     tail = log_of(spark, rows[800:])
     assert held(runs.recover(flushed[0].unionByName(flushed[1]), tail)) == model(rows)
+
+
+def test_recovery_folds_appends(spark):
+    """Appends in the tail add to what the runs hold, start a key that they do not hold, and follow a put or delete of the tail."""
+    runs_ = runs.flush(log_of(spark, [("put", "a", "1"), ("put", "b", "1"), ("put", "c", "1"), ("delete", "d", None)]).select("k", (F.col("op") == "delete").alias("is_tombstone"), "v", "idx"), [F.col("idx")], 0, 0)
+    tail = [("append", "a", "2"), ("append", "a", "3"), ("put", "b", "x"), ("append", "b", "y"), ("delete", "c", None), ("append", "c", "z"), ("append", "d", "q"), ("append", "e", "n"), ("append", "f", "o"), ("delete", "f", None)]
+    assert held(runs.recover(runs_, log_of(spark, tail))) == {"a": "123", "b": "xy", "c": "z", "d": "q", "e": "n"}
+
+
+def test_exactly_once_keeps_rows_with_nulls(spark):
+    """Every mutation is accepted or rejected, also those without client, partition, index or sequence number."""
+    rows = [(1, 1, 0, 1, 1, "put", "a", "v"), (2, 1, 0, None, 1, "put", "a", "v"), (3, 1, None, 1, 1, "put", "a", "v"), (None, 1, 0, 1, 5, "put", "a", "v"), (4, 1, 0, None, 1, "put", "a", "v"), (5, 1, 0, 1, None, "put", "a", "v")]
+    log = spark.createDataFrame(rows, OP_LOG)
+    yes, no = oplog.accepted(log).collect(), oplog.rejected(log).collect()
+    assert len(yes) + len(no) == len(rows)
+    assert (2, None) in {(r.idx, r.client_id) for r in yes} and (4, None) in {(r.idx, r.client_id) for r in no}

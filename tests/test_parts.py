@@ -259,7 +259,7 @@ def test_check_names_the_first_bad_key(spark):
     rows = [(1, "put", k, "1", "", 0, 1) for k in "abc"] + [(1, "get", k, "", "9" if k in "bc" else "1", 2, 3) for k in "abc"]
     got = history.summary(history.check(spark.createDataFrame(rows, HISTORY))).first()
     assert (got.ok, got.bad_key) == (False, "b")
-    assert history.summary(history.check(history.empty(spark))).first().ok
+    assert history.summary(history.check(spark.createDataFrame([], HISTORY))).first().ok
 
 
 def test_workload_mix(spark):
@@ -377,3 +377,12 @@ def test_windowed_latency(spark, tmp_path):
     q = apply.windowed_latency(stream, "ts", "v", "30 minutes", "1 minute").writeStream.format("memory").queryName("lat").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.n, r.most) for r in spark.table("lat").collect()) == [(30, 1740), (30, 3540), (30, 5340), (30, 7140)]
+
+
+def test_history_that_is_not_searched_to_the_end_is_not_ok(spark):
+    rows = [(1, "append", "a", f"{i}", "", 0, 9) for i in range(6)] + [(1, "get", "a", "", "x", 0, 9)]
+    frame = spark.createDataFrame(rows, HISTORY)
+    cut = history.summary(history.check(frame, steps=3)).first()
+    assert cut.ok is None and cut.unknown_keys == 1
+    whole = history.summary(history.check(frame)).first()
+    assert whole.ok is False and whole.bad_key == "a" and whole.unknown_keys == 0

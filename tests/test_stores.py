@@ -58,6 +58,18 @@ def test_flushes_and_compactions_keep_the_state(spark, tmp_path):
     assert dead.where(F.col("level") == deepest).count() == 0
 
 
+def test_flush_appends_to_what_the_store_holds(spark, tmp_path):
+    rows, store = [], RunStore(str(tmp_path / "a"), trigger=2)
+    for part in ([("put", "a", "1"), ("append", "b", "1")], [("append", "a", "2"), ("delete", "b", None)], [("append", "a", "3"), ("append", "b", "4"), ("put", "c", "5"), ("append", "c", "6")]):
+        rows += part
+        store.flush(spark, log_of(spark, part))
+        assert held(store.state(spark)) == model(rows)
+    store.compact(spark)
+    assert held(store.state(spark)) == model(rows) == {"a": "123", "b": "4", "c": "56"}
+    many = spark.range(30).select(F.when(F.col("id") < 3, F.substring(F.lit("abc"), F.col("id").cast("int") + 1, F.lit(1))).otherwise(F.col("id").cast("string")).alias("k"))
+    assert held(store.get(spark, many)) == model(rows)
+
+
 def test_commands(spark, tmp_path):
     at = str(tmp_path / "kv")
     say = lambda *words: cli.run(spark, at, list(words))

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions.hashing import BLOOM_SEED, murmur64a
@@ -17,6 +17,7 @@ from tidelog.functions.hashing import BLOOM_SEED, murmur64a
 BITS_PER_KEY = 10
 
 
+# 0.69 and the bounds 1 and 30 of the probe count, and the turn by 33 of the step.
 def probes(bits_per_key: int) -> int:
     """Probes for a filter of so many bits a key: about ln 2 times the bits, between 1 and 30."""
     return max(1, min(30, int(bits_per_key * 0.69)))
@@ -37,19 +38,26 @@ def positions(keys: pa.Array, bits: int, k: int) -> np.ndarray:
     return ((h[:, None] + step[:, None] * np.arange(k, dtype=np.uint64)) % np.uint64(bits)).astype(np.int64)
 
 
+def fill_into(total: np.ndarray, keys: pa.Array, k: int) -> None:
+    """Sets the keys' bits in a filter's bytes."""
+    at = positions(keys, len(total) * 8, k).reshape(-1)
+    np.bitwise_or.at(total, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+
+
 def fill(keys: pa.Array, size: int, k: int) -> bytes:
     """A filter of ``size`` bytes over the keys."""
-    bits = np.zeros(size * 8, np.uint8)
-    bits[positions(keys, size * 8, k).reshape(-1)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
+    total = np.zeros(size, np.uint8)
+    fill_into(total, keys, k)
+    return total.tobytes()
 
 
 def may_contain(filter_: bytes, keys: pa.Array, k: int) -> np.ndarray:
     """Whether each key may be in the filter; an empty filter rules nothing out."""
     if not filter_:
         return np.ones(len(keys), bool)
-    bits = np.unpackbits(np.frombuffer(filter_, np.uint8), bitorder="little")
-    return bits[positions(keys, len(bits), k)].all(1)
+    bits = np.frombuffer(filter_, np.uint8)
+    at = positions(keys, 8 * len(bits), k)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).all(1)
 
 
 def build(keys: DataFrame, column: str, n: int, bits_per_key: int = BITS_PER_KEY) -> bytes:
@@ -59,7 +67,7 @@ def build(keys: DataFrame, column: str, n: int, bits_per_key: int = BITS_PER_KEY
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.uint8)
         for b in batches:
-            total |= np.frombuffer(fill(b.column(0), size, k), np.uint8)
+            fill_into(total, b.column(0), k)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["bits"])
 
     def join(rows: pa.Table) -> pa.Table:
@@ -76,11 +84,11 @@ def build(keys: DataFrame, column: str, n: int, bits_per_key: int = BITS_PER_KEY
 
 
 def contains(filter_: bytes, key: Column, bits_per_key: int = BITS_PER_KEY) -> Column:
-    """Whether the filter may hold a key."""
-    k = probes(bits_per_key)
+    """Whether the filter may hold a key. The filter goes to the executors once, as a broadcast, not with every task."""
+    k, held = probes(bits_per_key), SparkSession.active().sparkContext.broadcast(filter_)
 
     @F.arrow_udf("boolean")
     def run(col: pa.Array) -> pa.Array:
-        return pa.array(may_contain(filter_, col, k))
+        return pa.array(may_contain(held.value, col, k))
 
     return run(key.cast("binary"))

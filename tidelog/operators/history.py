@@ -8,10 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.schemas import HISTORY
-
-#: Search steps for one key after which the answer is "unknown" instead of a wait without end.
-STEPS = 2_000_000
 
 
 def apply(state: str, op: str, value: str, output: str) -> tuple[bool, str]:
@@ -27,8 +23,8 @@ def apply(state: str, op: str, value: str, output: str) -> tuple[bool, str]:
     raise ValueError(f"unknown operation {op}")
 
 
-def check_key(ops: list[tuple[str, str, str, int, int]], steps: int = STEPS) -> str:
-    """'ok', 'violation' or 'unknown' for one key's completed operations (op, input, output, call, return).
+def check_key(ops: list[tuple[str, str, str, int, int]], steps: int | None = None) -> str:
+    """'ok' or 'violation' for one key's completed operations (op, input, output, call, return); 'unknown' only after ``steps`` search steps, where that many are set.
 
     Depth-first search for an order of the operations that a register allows and that keeps apart operations of which one returned before the other
     was called. At each point any operation may be next that was called no later than the earliest return among those that are left. States that were reached with the same
@@ -65,15 +61,16 @@ def check_key(ops: list[tuple[str, str, str, int, int]], steps: int = STEPS) ->
             return "ok"
         if (now, after) in seen:
             continue
-        steps -= 1
-        if steps < 0:
-            return "unknown"
+        if steps is not None:
+            steps -= 1
+            if steps < 0:
+                return "unknown"
         seen.add((now, after))
         stack.append((now, after, choices(now)))
     return "violation"
 
 
-def check(history: DataFrame, steps: int = STEPS) -> DataFrame:
+def check(history: DataFrame, steps: int | None = None) -> DataFrame:
     """(k, ops, verdict) of each key. Keys are independent, so each is one group of a grouped map."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -85,11 +82,10 @@ def check(history: DataFrame, steps: int = STEPS) -> DataFrame:
 
 
 def summary(checked: DataFrame) -> DataFrame:
-    """(ok, bad_key, unknown_keys): ok if no key is violated; bad_key is the first violated key in byte order."""
-    bad = F.col("verdict") == "violation"
-    return checked.agg(
-        (F.count(F.when(bad, 1)) == 0).alias("ok"), F.min(F.when(bad, F.col("k"))).alias("bad_key"), F.count(F.when(F.col("verdict") == "unknown", 1)).alias("unknown_keys")
-    )
+    """(ok, bad_key, unknown_keys): ok is false if a key is violated, null if none is but some are unknown; bad_key is the first violated key in byte order."""
+    bad, unknown = F.col("verdict") == "violation", F.count(F.when(F.col("verdict") == "unknown", 1))
+    ok = F.when(F.count(F.when(bad, 1)) > 0, False).when(unknown == 0, True)
+    return checked.agg(ok.alias("ok"), F.min(F.when(bad, F.col("k"))).alias("bad_key"), unknown.alias("unknown_keys"))
 
 
 def stats(history: DataFrame) -> DataFrame:
@@ -126,7 +122,3 @@ def executed(requests: DataFrame, length_ns: int = 1000) -> DataFrame:
     jitter = F.pmod(F.xxhash64("k", "n", "client"), F.lit(length_ns * 2))
     done = requests.withColumn("at", at).withColumn("output", F.when(F.col("op") == "get", state).otherwise(F.lit("")))
     return done.select("client", "op", "k", "input", "output", (F.col("at") - jitter).alias("call_ns"), (F.col("at") + jitter).alias("ret_ns"))
-
-
-def empty(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], HISTORY)

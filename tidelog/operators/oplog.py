@@ -51,7 +51,12 @@ def with_previous_seq(log: DataFrame, stretch: int = STRETCH) -> DataFrame:
     tops = writes.groupBy(*scope, "__stretch").agg(F.max("seq").alias("__top")).withColumn("__before", F.max("__top").over(earlier)).drop("__top")
     inside = Window.partitionBy(*scope, "__stretch").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     near = writes.withColumn("__near", F.max("seq").over(inside))
-    return near.join(tops, [*scope, "__stretch"]).withColumn("last_seq", F.greatest(F.coalesce("__near", F.lit(0)), F.coalesce("__before", F.lit(0)), F.lit(0))).drop("__near", "__before", "__stretch")
+    keyed = tops.select(*(F.col(c).alias(f"__of_{c}") for c in (*scope, "__stretch")), "__before")
+    same = F.lit(True)
+    for c in (*scope, "__stretch"):  # a null client, partition or index is a value of its own: no mutation leaves both answers
+        same = same & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+    near = near.join(keyed, same).drop(*(f"__of_{c}" for c in (*scope, "__stretch")))
+    return near.withColumn("last_seq", F.greatest(F.coalesce("__near", F.lit(0)), F.coalesce("__before", F.lit(0)), F.lit(0))).drop("__near", "__before", "__stretch")
 
 
 def accepted(log: DataFrame, stretch: int = STRETCH) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidelog.schemas import MUTATIONS, RESETS
+
 # The shape of the level tree.
 LEVELS = 7
 L0_TRIGGER = 4
@@ -22,6 +24,27 @@ def flush(entries: DataFrame, version: list[Column], level: int = 0, run_id: int
     return newest.select(F.lit(level).alias("level"), F.lit(run_id).cast("long").alias("run_id"), "k", "e.is_tombstone", "e.v")
 
 
+def folded(log: DataFrame) -> DataFrame:
+    """(k, is_tombstone, v, open) after the accepted mutations (k, idx, op, v) of a log tail.
+
+    ``open`` keys were only appended to, so what older runs hold comes before ``v``. As in ``fold``, values before a key's last put or delete are dropped before
+    they are concatenated.
+    """
+    writes = log.where(F.col("op").isin(*MUTATIONS)).select("k", "idx", "op", "v")
+    ends = writes.groupBy(F.col("k").alias("__k")).agg(F.max(F.when(F.col("op").isin(*RESETS), F.col("idx"))).alias("__reset"), F.max_by("op", "idx").alias("__last"))
+    live = writes.join(ends, F.col("k").eqNullSafe(F.col("__k"))).where(F.col("__reset").isNull() | (F.col("idx") >= F.col("__reset")))
+    value = live.withColumn("v", F.when(F.col("op") != "delete", F.col("v"))).groupBy("k", "__reset", "__last").agg(F.expr("listagg(v, '') WITHIN GROUP (ORDER BY idx)").alias("v"))
+    dead = F.col("__last") == "delete"
+    return value.select("k", dead.alias("is_tombstone"), F.when(~dead, F.coalesce("v", F.lit(""))).alias("v"), F.col("__reset").isNull().alias("open"))
+
+
+def on_base(tail: DataFrame, base: DataFrame) -> DataFrame:
+    """(k, is_tombstone, v) of ``folded`` rows, with open keys behind their value (k, v) in ``base``."""
+    held = base.select(F.col("k").alias("__k"), F.col("v").alias("__held"))
+    joined = tail.join(held, F.col("open") & F.col("k").eqNullSafe(F.col("__k")), "left")
+    return joined.select("k", "is_tombstone", F.when(F.col("open"), F.concat(F.coalesce("__held", F.lit("")), "v")).otherwise(F.col("v")).alias("v"))
+
+
 def write_run(run: DataFrame, path: str, rows_per_file: int = 0) -> None:
     """Writes a run in key ranges, sorted, with min/max statistics and bloom filters on the key, so that lookups skip files and row groups."""
     writer = run.repartitionByRange("k").sortWithinPartitions("k").write
@@ -176,7 +199,9 @@ def compact(entries: DataFrame, files: DataFrame, inputs: Sequence[tuple[int, in
 
 
 def recover(entries: DataFrame, log_tail: DataFrame) -> DataFrame:
-    """State (k, v) from runs and the mutations behind them: the tail, newer than any run, counts as level -1."""
-    newest = log_tail.groupBy("k").agg(F.max_by(F.struct((F.col("op") == "delete").alias("is_tombstone"), "v"), "idx").alias("e"))
-    tail = newest.select(F.lit(-1).alias("level"), F.lit(0).cast("long").alias("run_id"), "k", "e.is_tombstone", "e.v")
-    return live(entries.select("level", "run_id", "k", "is_tombstone", "v").unionByName(tail))
+    """State (k, v) from runs and the accepted mutations behind them: the tail, newer than any run, counts as level -1; appends add to what the runs hold."""
+    tail = folded(log_tail)
+    asked = tail.where("open").select(F.col("k").alias("__k"))
+    base = live(entries.join(asked, F.col("k").eqNullSafe(F.col("__k")), "left_semi"))
+    newest = on_base(tail, base).select(F.lit(-1).alias("level"), F.lit(0).cast("long").alias("run_id"), "k", "is_tombstone", "v")
+    return live(entries.select("level", "run_id", "k", "is_tombstone", "v").unionByName(newest))

@@ -16,6 +16,8 @@ from tidelog.operators import runs
 from tidelog.schemas import MANIFEST, RUN_ENTRY
 from tidelog.sources.files import Manifests
 
+FEW = 10
+
 
 def encode_key(key: str) -> str:
     return "k" + key.encode().hex()
@@ -58,10 +60,10 @@ class RunStore:
         return [{"level": level, "run_id": number, "folder": folder, "size": r["size"], "smallest": encode_key(r.smallest), "largest": encode_key(r.largest)} for r in listed]
 
     def flush(self, spark: SparkSession, log: DataFrame) -> None:
-        """A new run of level 0 from accepted mutations (idx, op, k, v); appends are folded before."""
+        """A new run of level 0 from accepted mutations (idx, op, k, v). Keys that were only appended to get what the store holds before their appends."""
         at, state = self._state(spark)
-        run = runs.flush(log.select("k", (F.col("op") == "delete").alias("is_tombstone"), "v", "idx"), [F.col("idx")], 0, state["next"])
-        made = self._write(spark, run, 0, state["next"])
+        tail = runs.folded(log)
+        made = self._write(spark, runs.on_base(tail, self.get(spark, tail.where("open").select("k"))), 0, state["next"])
         self.manifests.commit(spark, at + 1, {**state, "runs": state["runs"] + made, "next": state["next"] + 1})
 
     def compact(self, spark: SparkSession) -> tuple[int, str] | None:
@@ -90,9 +92,15 @@ class RunStore:
         return level, how
 
     def get(self, spark: SparkSession, keys: DataFrame) -> DataFrame:
-        """(k, v) of the keys that are held; only runs whose key range meets that of the keys are read, each with the keys pushed down by a semi-join."""
+        """(k, v) of the keys that are held; only runs whose key range meets that of the keys are read.
+
+        Up to ``FEW`` keys go to the scan as literals, so that key ranges and bloom filters of the files skip row groups; more are a semi-join.
+        """
+        few = [r.k for r in keys.select("k").where("k is not null").distinct().limit(FEW + 1).collect()]
         span = keys.agg(F.min("k").alias("a"), F.max("k").alias("z")).first()
         listed = [r for r in self._state(spark)[1]["runs"] if span.a is not None and decode_key(r["smallest"]) <= span.z and decode_key(r["largest"]) >= span.a]
+        if len(few) <= FEW:
+            return runs.live(self.entries(spark, listed).where(F.col("k").isin(few)))
         return runs.live(self.entries(spark, listed).join(keys.select("k").distinct(), "k", "left_semi"))
 
     def state(self, spark: SparkSession, tail: DataFrame | None = None) -> DataFrame:
