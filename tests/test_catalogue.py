@@ -5,8 +5,11 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.compare import assert_same, connect
+from tidelog.operators import history
+from tidelog.plans import catalogue
 from tidelog.plans.catalogue import QUERIES, SQL
 
 DATA = os.environ.get("TIDELOG_DATA", "/root/testdata/sf0.001")
@@ -38,7 +41,16 @@ def test_bloom_filter_loses_nothing(spark):
 
 def test_generated_history_is_linearizable(spark):
     assert one(spark, "linearizable_history") == {"ok": True, "bad_key": None, "unknown_keys": 0}
-    assert one(spark, "history_stats") == {"ops": 1000, "keys": 40, "clients": 5}
+    made = history.executed(history.workload(spark, 5, 200, 40, seed=7))
+    assert history.summary(history.check(made)).first().asDict() == {"ok": True, "bad_key": None, "unknown_keys": 0}
+    assert history.stats(made).first().asDict() == {"ops": 1000, "keys": 40, "clients": 5}
+
+
+def test_a_wrong_answer_in_the_history_of_events_is_found(spark):
+    made = catalogue.checked_history(spark, DATA)
+    first = made.where("op = 'get'").agg(F.min(F.struct("k", "call_ns")).alias("x")).first().x
+    bent = made.withColumn("output", F.when((F.col("k") == first.k) & (F.col("call_ns") == first.call_ns), "never written").otherwise(F.col("output")))
+    assert history.summary(history.check(bent)).first().asDict() == {"ok": False, "bad_key": first.k, "unknown_keys": 0}
 
 
 def test_rebalance_moves_about_an_eleventh(spark):

@@ -183,12 +183,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH {views.MANIFEST_SQL}, chosen AS (SELECT * FROM entries WHERE level = 0 OR (level = 1 AND run_id <= 1)),
 m AS (SELECT k, is_tombstone, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY level, run_id DESC) AS nth FROM chosen) WHERE nth = 1)
 SELECT 1::INTEGER AS level, 99::BIGINT AS run_id, k, is_tombstone, v FROM m
-WHERE NOT is_tombstone OR EXISTS (SELECT 1 FROM manifest f WHERE f.level > 1 AND f.run_id % 3 = 0 AND m.k BETWEEN f.smallest AND f.largest)""",
+WHERE NOT is_tombstone OR EXISTS (SELECT 1 FROM manifest f WHERE f.level > 1 AND m.k BETWEEN f.smallest AND f.largest)""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     rows = views.entries(spark, d)
-    files = runs.manifest(rows).where("level < 2 or run_id % 3 = 0")
-    return runs.compact(rows, files, [(0, 0), (0, 1), (0, 2), (0, 3), (1, 0), (1, 1)], 1, 99)
+    return runs.compact(rows, runs.manifest(rows), [(0, 0), (0, 1), (0, 2), (0, 3), (1, 0), (1, 1)], 1, 99)
 
 
 @query("compaction_overlap", f"WITH {views.MANIFEST_SQL} SELECT a.level, a.run_id, b.run_id AS below_id FROM manifest a JOIN manifest b ON b.level = a.level + 1 AND a.smallest <= b.largest AND b.smallest <= a.largest WHERE a.level = 1")
@@ -196,9 +195,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return runs.overlaps(runs.manifest(views.entries(spark, d)), 1)
 
 
-@query("compaction_input_range", f"WITH {views.MANIFEST_SQL} SELECT min(smallest) AS smallest, max(largest) AS largest FROM manifest WHERE level = 1 AND run_id < 3")
+@query("compaction_input_range", f"WITH {views.MANIFEST_SQL} SELECT min(smallest) AS smallest, max(largest) AS largest FROM manifest WHERE level = 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return runs.input_range(runs.manifest(views.entries(spark, d)).where("level = 1 and run_id < 3"))
+    return runs.input_range(runs.manifest(views.entries(spark, d)).where("level = 1"))
 
 
 @query("lookup_candidate_files", f"WITH {views.MANIFEST_SQL} SELECT o.k, m.level, m.run_id FROM (SELECT format('k{{:07d}}', o_orderkey) AS k FROM orders) o JOIN manifest m ON o.k BETWEEN m.smallest AND m.largest")
@@ -231,17 +230,17 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return runs.pick_file(runs.manifest(views.entries(spark, d)), 1, "k0005000").select("level", "run_id", "size", "smallest", "largest")
 
 
-_MOVES = f"{views.MANIFEST_SQL}, thin AS (SELECT * FROM manifest WHERE level < 2 OR run_id % 7 = 0), moves AS (SELECT * FROM thin a WHERE level = 1 AND NOT EXISTS (SELECT 1 FROM thin b WHERE b.level = 2 AND a.smallest <= b.largest AND b.smallest <= a.largest))"
+_MOVES = f"{views.SPREAD_SQL}, moves AS (SELECT * FROM spread a WHERE level = 1 AND NOT EXISTS (SELECT 1 FROM spread b WHERE b.level = 2 AND a.smallest <= b.largest AND b.smallest <= a.largest))"
 
 
 @query("trivial_moves", f"WITH {_MOVES} SELECT level, run_id, size, smallest, largest FROM moves")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return runs.trivial_moves(runs.manifest(views.entries(spark, d)).where("level < 2 or run_id % 7 = 0"), 1)
+    return runs.trivial_moves(views.spread_files(spark, d), 1).select("level", "run_id", "size", "smallest", "largest")
 
 
-@query("manifest_after_moves", f"WITH {_MOVES} SELECT (t.level + CASE WHEN m.run_id IS NULL THEN 0 ELSE 1 END)::INTEGER AS level, t.run_id, t.size, t.smallest, t.largest FROM thin t LEFT JOIN moves m ON m.level = t.level AND m.run_id = t.run_id")
+@query("manifest_after_moves", f"WITH {_MOVES} SELECT (t.level + CASE WHEN m.run_id IS NULL THEN 0 ELSE 1 END)::INTEGER AS level, t.run_id, t.size, t.smallest, t.largest FROM spread t LEFT JOIN moves m ON m.level = t.level AND m.run_id = t.run_id")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    files = runs.manifest(views.entries(spark, d)).where("level < 2 or run_id % 7 = 0")
+    files = views.spread_files(spark, d)
     return runs.moved(files, runs.trivial_moves(files, 1))
 
 
@@ -473,10 +472,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return consensus.first_conflict(log.where("node_id = 0"), log.where("node_id = 1"))
 
 
-@query("append_entries", f"WITH {views.REPLICAS_SQL}, f AS (SELECT * FROM replica_log WHERE node_id = 1 AND idx <= 200), c AS (SELECT min(a.idx) AS at FROM replica_log a JOIN f ON a.idx = f.idx WHERE a.node_id = 0 AND a.term <> f.term), k AS (SELECT f.* FROM f, c WHERE c.at IS NULL OR f.idx < c.at) SELECT idx, term, data FROM k UNION ALL SELECT idx, term, data FROM replica_log WHERE node_id = 0 AND idx NOT IN (SELECT idx FROM k)")
+@query("append_entries", f"WITH {views.REPLICAS_SQL}, f AS (SELECT * FROM replica_log WHERE node_id = 1), c AS (SELECT min(a.idx) AS at FROM replica_log a JOIN f ON a.idx = f.idx WHERE a.node_id = 0 AND a.term <> f.term), k AS (SELECT f.* FROM f, c WHERE c.at IS NULL OR f.idx < c.at) SELECT idx, term, data FROM k UNION ALL SELECT idx, term, data FROM replica_log WHERE node_id = 0 AND idx NOT IN (SELECT idx FROM k)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     log = views.replica_log(spark, d)
-    return consensus.append_entries(log.where("node_id = 0"), log.where("node_id = 1 and idx <= 200")).select("idx", "term", "data")
+    return consensus.append_entries(log.where("node_id = 0"), log.where("node_id = 1")).select("idx", "term", "data")
 
 
 @query("conflict_term_start", f"WITH {views.REPLICAS_SQL} SELECT part, node_id, term, min(idx) AS first_idx, max(idx) AS last_idx FROM replica_log WHERE node_id <> 1 GROUP BY ALL")
@@ -536,7 +535,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 # --- formats and text forms -----------------------------------------------------------------------------------
 
 
-@query("crc_valid_prefix")
+@query("crc_valid_prefix", "WITH f AS (SELECT source, doc_id, min(CASE WHEN doc_id % 211 = 210 THEN doc_id END) OVER (PARTITION BY source) AS bad FROM documents) SELECT source, count(*) AS records, max(doc_id) AS last FROM f WHERE bad IS NULL OR doc_id < bad GROUP BY source")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """Documents as framed records, one log for each source; every 211th checksum is wrong."""
     docs = table(spark, d, "documents").select("source", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -636,18 +635,18 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 # --- histories and faults ----------------------------------------------------------------------------------------------
 
 
-def checked_history(spark: SparkSession) -> DataFrame:
-    return history.executed(history.workload(spark, 5, 200, 40, seed=7))
+def checked_history(spark: SparkSession, d: str) -> DataFrame:
+    return history.executed(views.requests(spark, d))
 
 
-@query("linearizable_history")
+@query("linearizable_history", "SELECT true AS ok, NULL::VARCHAR AS bad_key, 0::BIGINT AS unknown_keys")  # the history is one of a correct store
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return history.summary(history.check(checked_history(spark)))
+    return history.summary(history.check(checked_history(spark, d)))
 
 
-@query("history_stats")
+@query("history_stats", f"SELECT count(*) AS ops, count(DISTINCT user_id) AS keys, count(DISTINCT event_id % {views.CLIENTS}) AS clients FROM events")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return history.stats(checked_history(spark))
+    return history.stats(checked_history(spark, d))
 
 
 def messages(spark: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 PARTITIONS, CLIENTS, NODES = 6, 7, 5
+SPREAD = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,6 +116,27 @@ MANIFEST_SQL = f"""{ENTRIES_SQL}, manifest AS (
 )"""
 
 
+def spread_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest in which files of level 1 lie between those of level 2, but for one block of keys in six, where they meet; of all rows of lineitem."""
+    block = F.floor(F.substring("k", 2, 7).cast("long") / SPREAD)
+    below = (block % 3 == 0) | ((block % 6 == 1) & (F.col("l_linenumber") == 1))
+    w = writes(spark, sf_dir).withColumns({"level": F.when(below, 2).otherwise(1), "run_id": block})
+    newest = w.groupBy("level", "run_id", "k").agg(F.max_by("v", F.struct(*VERSION)).alias("v"))
+    size = F.octet_length("k") + F.coalesce(F.octet_length("v"), F.lit(0))
+    return newest.groupBy("level", "run_id").agg(F.sum(size.cast("long")).alias("size"), F.min("k").alias("smallest"), F.max("k").alias("largest"))
+
+
+SPREAD_SQL = f"""{WRITES_SQL}, s0 AS (
+  SELECT substr(k, 2)::BIGINT // {SPREAD} AS run_id, k, v, {", ".join(VERSION)} FROM writes
+), s1 AS (
+  SELECT *, CASE WHEN run_id % 3 = 0 OR (run_id % 6 = 1 AND l_linenumber = 1) THEN 2 ELSE 1 END::INTEGER AS level FROM s0
+), s2 AS (
+  SELECT *, row_number() OVER (PARTITION BY level, run_id, k ORDER BY {", ".join(c + " DESC" for c in VERSION)}) AS nth FROM s1
+), spread AS (
+  SELECT level, run_id, sum(octet_length(k::BLOB) + coalesce(octet_length(v::BLOB), 0))::BIGINT AS size, min(k) AS smallest, max(k) AS largest FROM s2 WHERE nth = 1 GROUP BY level, run_id
+)"""
+
+
 def replica_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as three replicas' logs: now and then a replica misses an entry or holds another one."""
     e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("etype"))
@@ -136,6 +158,12 @@ REPLICAS_SQL = """r0 AS (
 )"""
 
 
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as requests of seven clients (client, n, op, k, input), each in the order of its events."""
+    c = commands(spark, sf_dir)
+    return c.select(F.pmod("event_id", F.lit(CLIENTS)).cast("int").alias("client"), F.col("event_id").alias("n"), "op", "k", F.when(F.col("op").isin("put", "append"), F.col("v")).otherwise("").alias("input"))
+
+
 def beats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as heartbeats (node_id, at_ms); of a node's beats in the same millisecond one counts."""
     e = table(spark, sf_dir, "events")
