@@ -13,12 +13,13 @@ and a comparison of bytes. Equal vectors are one point with a multiplicity, so c
 returns for each point the number of links and a spanning forest of its links, not the links; so a dense group of
 thousands costs as many rows as it has members.
 
-Defined results: a vector that takes no part has no links and is its own component; without vec_id a row is returned
-with nulls and links with nothing; rows with the same vec_id are members of their own.
+Defined results: vectors of each length are compared among themselves; a vector that takes no part has no links and is its own component; without vec_id a row is returned
+with nulls and links with nothing; rows with the same vec_id are members of their own; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import functools
 from math import comb, erf, sqrt
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import keep, table
 from tidelog.llm.graph import components
-from tidelog.llm.vectors import dots, matrix, usable
+from tidelog.llm.vectors import dots, matrix, taking_part
 
 COSINE, PROJECTIONS, RECALL, RANGE, LEAD = 0.95, 24, 0.99999, 8192, 4.0
 _WINDOW, _CELL, _SIDE = 2.0, 0.036, 1024
@@ -148,10 +149,15 @@ def links(points: DataFrame, d: int, cosine: float = COSINE, projections: int =
 
 def dedup(vectors: DataFrame, ident: str = "vec_id", col: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
-    rows, d = usable(vectors, ident, col)
+    rows = taking_part(vectors, ident, col)
     keyed = rows.withColumn("h", F.xxhash64("x")).withColumn("k", F.hash("x"))
     points = keep(keyed.groupBy("x", "h", "k").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
-    degrees, edges = links(points.select(F.col("rep").alias("id"), "x", "n"), d, cosine)
+    made = []
+    for d in sorted(r.d for r in points.select(F.size("x").alias("d")).distinct().collect()):  # vectors of different lengths do not link
+        made.append(links(points.where(F.size("x") == d).select(F.col("rep").alias("id"), "x", "n"), d, cosine))
+    if not made:
+        made.append((rows.select("id", F.lit(0).cast("long").alias("degree")), rows.select(F.col("id").alias("u"), F.col("id").alias("v"))))  # no rows
+    degrees, edges = (functools.reduce(DataFrame.union, x) for x in zip(*made, strict=True))
     comp = components(edges)
     of = points.select("h", "k", "x", "rep", "n").join(degrees.withColumnRenamed("id", "rep"), "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     of = of.select("h", "k", F.col("x").alias("y"), (F.coalesce("degree", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("comp", "rep").alias("component_id"))

@@ -14,7 +14,8 @@ domains travel. Counts, priors, totals and residuals cover all rows.
 
 Defined results: null texts have no tokens, the prior as posterior, and rate one; without labels
 there is one domain, "all", and every rate is one; targets of domains that have no labels are left out and
-the rest scaled to one; equal rows get equal rates.
+the rest scaled to one; equal rows get equal rates; a doc_id with several texts is learnt from the least of them; texts of any length are
+read whole; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -98,8 +99,9 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, sample_per_domain: int =
     if len(names) == 1:
         return Classifier(names, prior, np.zeros((1, 1)))
     chosen = bounded_sample(named.withColumnRenamed("doc_id", "__id"), "domain", "__id", sample_per_domain)
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["__id"]).where("text is not null")
-    rows = rows.select("domain", F.lower("text").alias("text"), "doc_id").dropDuplicates(["doc_id"])
+    named_texts = docs.select("doc_id", F.lower("text").alias("text")).where("text is not null")
+    rows = named_texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))  # at most sample_per_domain rows a domain
+    rows = rows.groupBy("doc_id", "domain").agg(F.min("text").alias("text")).select("domain", "text", "doc_id")
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -144,16 +146,20 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
     return docs.select("doc_id", text_hash().alias("th"), tokens().alias("tokens"), posterior.asNondeterministic()(F.lower("text")).alias("posterior"))
 
 
-def fit_rates(members: DataFrame, names: list[str], targets: dict[str, float], steps: int = 40) -> DataFrame:
-    """members with ``rate``, by projected gradient on the whitened residual."""
+def fit_rates(members: DataFrame, names: list[str], targets: dict[str, float], tolerance: float = 1e-6, stored: int = 16, steps: int | None = None) -> tuple[DataFrame, float]:
+    """members with ``rate``, by projected gradient on the whitened residual, and the residual that is left: the largest difference of a domain's share from its target.
+
+    Steps go on until the residual is within ``tolerance``, or until ``stored`` steps have not brought it down by a hundredth: then no rates reach the targets.
+    ``steps``, where set, is the most of them. Rates are stored every ``stored`` steps, so that a step folds no more residuals than that.
+    """
     d = len(names)
     total = members.agg(F.sum("tokens")).first()[0] or 0
     target = np.array([max(0.0, targets.get(n, 0.0)) for n in names])
     if not total or not target.sum():
-        return members.withColumn("rate", F.lit(1.0))
+        return members.withColumn("rate", F.lit(1.0)), 0.0
     target /= target.sum()
     share = F.col("tokens") / F.lit(float(total))
-    a = keep(members.withColumns({f"__a{j}": share * F.col("posterior")[j] for j in range(d)}))
+    a = keep(members.withColumns({f"__a{j}": share * F.col("posterior")[j] for j in range(d)} | {"rate": F.lit(1.0)}))
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     sums = a.agg(*(F.sum(F.col(f"__a{i}") * F.col(f"__a{j}")) for i, j in pairs)).first()
     gram = np.zeros((d, d))
@@ -163,37 +169,45 @@ def fit_rates(members: DataFrame, names: list[str], targets: dict[str, float], s
     past: list[np.ndarray] = []
 
     def rate() -> Column:
-        r = F.lit(1.0)
+        r = F.col("rate")
         if past:
             h = F.array(*(F.array(*(F.lit(float(x)) for x in g)) for g in past))
             move = lambda g: sum((F.col(f"__a{j}") * g[j] for j in range(1, d)), F.col("__a0") * g[0])
-            r = F.aggregate(h, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - move(g)))
+            r = F.aggregate(h, r, lambda r, g: F.greatest(F.lit(0.0), r - move(g)))
         return r
 
-    for _ in range(steps):
+    worst, before, done = float("inf"), float("inf"), 0
+    while True:
         got = a.select(rate().alias("__r"), *(f"__a{j}" for j in range(d))).agg(*(F.sum(F.col("__r") * F.col(f"__a{j}")) for j in range(d))).first()
         residual = np.array([x or 0.0 for x in got]) - target
-        if np.abs(residual).max() < 1e-9:
+        worst = float(np.abs(residual).max())
+        if worst <= tolerance or steps is not None and done == steps:
             break
+        done += 1
+        if len(past) == stored:
+            if worst > 0.99 * before:
+                break
+            a, before = keep(a.withColumn("rate", rate())), worst
+            past.clear()
         past.append(inverse @ residual)
-    return a.withColumn("rate", rate()).drop(*(f"__a{j}" for j in range(d)))
+    return a.withColumn("rate", rate()).drop(*(f"__a{j}" for j in range(d))), worst
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> tuple[DataFrame, list[str]]:
-    """doc_id, th, tokens, posterior, rate and copies of every row, and the domains' names.
+    """doc_id, th, tokens, posterior, rate, copies and residual (of the fit) of every row, and the domains' names.
 
     copies rounds the rate up or down by a hash of the doc_id, so that it is the rate on average.
     """
     model = fit_classifier(docs, labels)
-    rates = fit_rates(keep(memberships(docs, model)), model.names, targets)
+    rates, residual = fit_rates(keep(memberships(docs, model)), model.names, targets)
     dice = F.pmod(F.xxhash64("doc_id", "th", F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rates.withColumn("copies", F.floor(F.col("rate") + dice).cast("long")), model.names
+    return rates.withColumns({"copies": F.floor(F.col("rate") + dice).cast("long"), "residual": F.lit(residual)}), model.names
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, names = mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     top = F.array(*(F.lit(n) for n in names))[F.array_position("posterior", F.array_max("posterior")).cast("int") - 1]
-    return out.select("doc_id", "tokens", top.alias("domain"), "posterior", "rate", "copies")
+    return out.select("doc_id", "tokens", top.alias("domain"), "posterior", "rate", "copies", "residual")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

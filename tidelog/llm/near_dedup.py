@@ -16,12 +16,13 @@ the links found leave nodes of a bucket in different components, every pair acro
 follows: as rows in buckets of at most ``SMALL`` nodes; inside tasks, block by block, in larger ones, where
 only links that connect components are returned. Every compared pair is verified on its whole shingle sets. Classes are the connected components of verified links.
 
-The production weight of a shingle is one (Jaccard similarity of sets, 0.8 or more); ``weight="count"``
-takes the number of its occurrences. With 24 bands of five coordinates a pair at 0.8 meets
+The production weight of a shingle is one (Jaccard similarity of sets, 0.8 or more); ``classes(weight="count")``
+takes the number of its occurrences, and verifies the weighted similarity. With 24 bands of five coordinates a pair at 0.8 meets
 with probability 0.99993.
 
 Defined results: a null text, or one without a word, is a class of its own; a row repeated under the same
-doc_id is the same document; class_id is the smallest doc_id of the class.
+doc_id is the same document; class_id is the smallest doc_id of the class; texts of any length are read whole; other columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
@@ -123,8 +124,16 @@ def dart_minhash(elem: np.ndarray, weight: np.ndarray, sizes: np.ndarray, k: int
     return sig
 
 
+def occurrences(elem: np.ndarray, count: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each shingle as often as it occurs, as elements of their own, so that the sets' similarity is the weighted one; sorted within the row."""
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    row = np.repeat(np.repeat(np.arange(len(sizes)), sizes), count)
+    made = mix64(np.repeat(elem, count) + nth.astype(np.uint64) * _G)
+    return made[np.lexsort((made, row))], np.bincount(row, minlength=len(sizes))
+
+
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weight: str = "presence") -> DataFrame:
-    """doc_id, th, node (hash of the shingle set, null without words), n shingles, band hashes."""
+    """doc_id, th, node (hash of the shingle set, null without words), n (the whole weight), band hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "th", "node", "n", "bands"]
@@ -144,26 +153,29 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weight: str =
                     mixed = elem if weight == "presence" else mix64(elem + count.astype(np.uint64))
                     node[full] = mix64(np.add.reduceat(mix64(mixed * _M), at) + sizes[full].astype(np.uint64))
                 has = np.where(sizes > 0, bands, 0)
+                n = np.bincount(np.repeat(np.arange(m), sizes), weights=w, minlength=m).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, m), b.column(1).slice(lo, m), pa.array(signed(node), mask=sizes == 0), pa.array(sizes), lists(signed(key[sizes > 0].reshape(-1)), has, pa.int64())], names
+                    [b.column(0).slice(lo, m), b.column(1).slice(lo, m), pa.array(signed(node), mask=sizes == 0), pa.array(n), lists(signed(key[sizes > 0].reshape(-1)), has, pa.int64())], names
                 )
 
     return docs.select("doc_id", text_hash().alias("th"), F.lower("text").alias("text")).mapInArrow(run, "doc_id long, th long, node long, n long, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and its sorted shingle set, folded to 32 bits, for the rows (doc_id, th, node) of ``wanted``."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame, weight: str = "presence") -> DataFrame:
+    """node and its sorted shingle set (with ``weight="count"`` its occurrences) for the rows (doc_id, th, node) of ``wanted``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, raw, off in text_parts(b.column(1)):
-                elem, _, sizes = shingles(raw, off)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(sizes)), lists((elem >> np.uint64(32)).astype(np.uint32).view(np.int32), sizes, pa.int32())], ["node", "items"])
+                elem, count, sizes = shingles(raw, off)
+                if weight == "count":
+                    elem, sizes = occurrences(elem, count, sizes)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(sizes)), lists(signed(elem), sizes, pa.int64())], ["node", "items"])
 
     rows = docs.select("doc_id", text_hash().alias("th"), "text")
     w = wanted.select(F.col("doc_id").alias("w_id"), F.col("th").alias("w_th"), "node")
     found = rows.join(w, same_row(rows, w, "doc_id", "th", "w_id", "w_th")).dropDuplicates(["node"])
-    return found.select("node", F.lower("text").alias("text")).mapInArrow(run, "node long, items array<int>")
+    return found.select("node", F.lower("text").alias("text")).mapInArrow(run, "node long, items array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
@@ -217,9 +229,9 @@ def cross_links(rest: DataFrame, sets: DataFrame, parts: int, block: int = BLOCK
     return keyed.join(sets, "node").select("band", "i", "j", "node", "comp", "items").groupBy("band", "i", "j").applyInArrow(run, "u long, v long")
 
 
-def classes(docs: DataFrame, similarity: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, th, class_id of each row. ``similarity`` in hundredths."""
-    s = keep(sketch(docs, bands, rows))
+def classes(docs: DataFrame, similarity: int = 80, bands: int = BANDS, rows: int = ROWS, weight: str = "presence") -> DataFrame:
+    """doc_id, th, class_id of each row, and ``first``: whether it is its class's first by doc_id (null last) and th. ``similarity`` in hundredths."""
+    s = keep(sketch(docs, bands, rows, weight))
     worded = s.where("node is not null")
     nodes = keep(worded.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")))
     band = nodes.select("node", "n", F.explode("bands").alias("band"))
@@ -227,7 +239,7 @@ def classes(docs: DataFrame, similarity: int = 80, bands: int = BANDS, rows: int
     shared = keep(band.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size"))
     met = keep(band.join(shared, "band"))
     wanted = met.select("node").distinct().join(nodes, "node").select("rep.doc_id", "rep.th", "node")
-    sets = keep(shingle_sets(docs, wanted))
+    sets = keep(shingle_sets(docs, wanted, weight))
     first = met.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     links = keep(verified(first, sets, similarity))
     comp = keep(components(links))
@@ -248,8 +260,9 @@ def classes(docs: DataFrame, similarity: int = 80, bands: int = BANDS, rows: int
     if not late.isEmpty():
         comp = keep(components(links.union(late)))
     of = s.join(comp, "node", "left").select("doc_id", "th", F.coalesce("comp", "node").alias("class"))
-    low = keep(of.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("low")))
-    return of.join(low, "class", "left").select("doc_id", "th", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("class_id"))
+    low = keep(of.where("class is not null").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("low")))
+    first = F.col("class").isNull() | (F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("th") == F.col("low.th")))
+    return of.join(low, "class", "left").select("doc_id", "th", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("low.doc_id")).alias("class_id"), first.alias("first"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,7 +271,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays, that with the smallest doc_id."""
-    gone = classes(docs).where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
+    """One row of each class stays, the first by doc_id (null last) and text hash; of equal ones any. Rows without a word stay, as classes of their own; a repeated row counts once."""
+    every = keep(classes(docs))
+    gone = every.where("not first").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("r"), docs["doc_id"].alias("__d"), text_hash("text").alias("__h"))
-    return rows.join(gone, same_row(rows, gone, "__d", "__h", "__id", "__th"), "left_anti").select("r.*")
+    left = rows.join(gone, same_row(rows, gone, "__d", "__h", "__id", "__th"), "left_anti")
+    twice = every.where("first").groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    if twice.isEmpty():
+        return left.select("r.*")
+    again = same_row(left, twice, "__d", "__h", "__id", "__th")
+    return left.join(twice, again, "left_anti").select("r.*").union(left.join(twice, again, "left_semi").dropDuplicates(["__d", "__h"]).select("r.*"))

@@ -1,8 +1,7 @@
 """Packing into batches with optimal length buckets.
 
-The histogram of token lengths over all documents is exact up to 65,536 tokens; beyond, a length is counted
-at the next of 1,024 steps for each doubling, so that the histogram has at most 65,536 + 1,024 rows a
-doubling, whatever the corpus. A dynamic program over it chooses the boundaries of at most ``buckets``
+The histogram of token lengths over all documents has a row for each different length, so it is bounded by the longest
+document and not by their number. A dynamic program over it chooses the boundaries of at most ``buckets``
 buckets that minimise the padding when every document is padded to its bucket's upper boundary. The
 cost of a last bucket is linear in its boundary, so each layer is a lower envelope of lines and takes time in
 proportion to the number of lengths. Inside a bucket, documents fill batches of
@@ -13,11 +12,12 @@ itself, and a running sum of shard sizes (one row for each shard) makes the numb
 global. So only the last batch of a bucket is smaller. Texts are not shuffled.
 
 Defined results: null and empty texts have one token, the end token; a document longer than the budget is a
-batch of its own; equal rows are packed as often as they occur; no documents give no batches.
+batch of its own; equal rows are packed as often as they occur; other columns, whatever their names, are not read; no documents give no batches.
 """
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left
 from collections.abc import Sequence
 
@@ -28,7 +28,6 @@ from pyspark.sql.window import Window
 from tidelog.llm.common import keep, table, text_hash
 
 BUCKETS, BUDGET, SHARD_ROWS = 16, 16_384, 16_384
-_EXACT, _STEPS = 1 << 16, 1 << 10
 
 
 def token_length(text: str = "text") -> Column:
@@ -36,12 +35,6 @@ def token_length(text: str = "text") -> Column:
     return (F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)) + 1).cast("long")
 
 
-def counted_length(n: Column) -> Column:
-    """n up to 65,536, beyond rounded up to a multiple of its power of two over 1,024."""
-    step = F.pow(F.lit(2.0), F.floor(F.log2(n.cast("double")))) / F.lit(_STEPS)
-    return F.when(n <= _EXACT, n).otherwise((F.ceil(n / step) * step).cast("long"))
-
-
 def optimal_boundaries(histogram: Sequence[tuple[int, int]], buckets: int) -> list[int]:
     """Upper boundaries, rising, that minimise the sum of boundary - length over all documents."""
     rows = sorted((n, c) for n, c in histogram if c > 0)
@@ -60,7 +53,7 @@ def optimal_boundaries(histogram: Sequence[tuple[int, int]], buckets: int) -> li
         # best'[j] = L[j] * C[j] - M[j] + min over i < j of (best[i] + M[i]) - C[i] * L[j]
         hull: list[int] = []
         value = [b + m for b, m in zip(best, mass, strict=True)]
-        new, choice, at = [0] * (size + 1), [0] * (size + 1), 0
+        new, choice, at = [0] * (size + 1), array("q", bytes(8 * (size + 1))), 0
         for j in range(1, size + 1):
             i = j - 1
             while len(hull) >= 2:
@@ -104,8 +97,8 @@ def bucket_of(n: Column, boundaries: list[int]) -> Column:
 
 def pack(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS, budget: int = BUDGET, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """doc_id, n_tokens, bucket, bucket_tokens, batch (from 0 in each bucket), slot, batch_id, pad of every row."""
-    rows = keep(docs.select("doc_id", text_hash().alias("th"), (token_length() if length is None else length).alias("n_tokens")).withColumn("counted", counted_length(F.col("n_tokens"))))
-    histogram = [(r.counted, r.n) for r in rows.groupBy("counted").agg(F.count(F.lit(1)).alias("n")).collect()]
+    rows = keep(docs.select("doc_id", text_hash().alias("th"), (token_length() if length is None else length).alias("n_tokens")))
+    histogram = [(r.n_tokens, r.n) for r in rows.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()]
     bounds = optimal_boundaries(histogram, buckets)
     if not bounds:
         return rows.select("doc_id", "n_tokens", *(F.lit(0).cast(t).alias(c) for c, t in (("bucket", "int"), ("bucket_tokens", "long"), ("batch", "long"), ("slot", "int"), ("batch_id", "string"), ("pad", "long"))))
@@ -114,7 +107,7 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS,
         held[bisect_left(bounds, n)] += c
     shards = F.array(*(F.lit(max(1, -(-c // shard_rows))) for c in held))
     bound = F.array(*(F.lit(b).cast("long") for b in bounds))
-    dealt = rows.withColumn("bucket", bucket_of(F.col("counted"), bounds))
+    dealt = rows.withColumn("bucket", bucket_of(F.col("n_tokens"), bounds))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("doc_id", "th", F.lit("shard")), shards[F.col("bucket")]))
     before = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offset = dealt.groupBy("bucket", "shard").agg(F.count(F.lit(1)).alias("c")).withColumn("offset", F.coalesce(F.sum("c").over(before), F.lit(0))).drop("c")
