@@ -235,6 +235,50 @@ def test_near_duplicates_awkward(spark, awkward, none):
     assert near_dedup.stage(spark, none, DATA).count() == 0 and near_dedup.classes(none).count() == 0
 
 
+def weighted_jaccard(a, b):
+    from collections import Counter
+
+    def grams(t):
+        w = t.lower().split()
+        return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+
+    x, y = grams(a), grams(b)
+    return sum((x & y).values()) / sum((x | y).values())
+
+
+def test_counts_as_weights(spark):
+    """Texts with equal shingle sets and unequal counts are one class by presence, and by counts only where the weighted similarity allows it."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(12):
+        w = [f"w{rng.randrange(1000)}" for _ in range(60)]
+        texts += [" ".join(w), " ".join(w * 2 + w[:4]), " ".join(w + w[:6]), " ".join(w[:-2] + ["x", "y"])]
+    df = spark.createDataFrame([(i, t, None, None, len(t), "c", 1) for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(df, weight="count").collect()}
+    forest = embedding_dedup._Forest(len(texts))
+    for i in range(len(texts)):
+        for j in range(i):
+            if weighted_jaccard(texts[i], texts[j]) >= 0.8:
+                forest.join(i, j)
+    assert got == {i: forest.root(i) for i in range(len(texts))} and len(set(got.values())) > 12
+    assert len({r.class_id for r in near_dedup.classes(df).collect()}) < len(set(got.values()))
+
+
+def test_rejection_takes_junk_and_spares_prose(spark):
+    """With a sample of production size: documents, and texts in no learnt language; without the floors nothing but letterless text would be rejected."""
+    sf = "/root/testdata/sf0.1"
+    rows = language_id.query(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), "doc_id").collect()
+    words = [(r.rejected, (r.text or "").split()) for r in rows]
+    junk = [gone for gone, w in words if len(w) >= 100 and len(set(w)) <= 12]
+    prose = [gone for gone, w in words if len(set(w)) >= 40]
+    assert len(junk) >= 5 and sum(junk) >= 0.7 * len(junk)
+    assert len(prose) > 500 and sum(prose) <= 0.005 * len(prose)
+    rng = random.Random(2)
+    model = language_id.fit(language_id.training_rows(spark.read.parquet(f"{sf}/documents.parquet")))
+    alien = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(k)) for k in (600, 6000, 60_000)] + ["".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(k)) for k in (600, 60_000)]
+    assert model.predict(alien)[2].all()
+
+
 # --- mixing -----------------------------------------------------------------------------------------------------------
 
 
@@ -264,6 +308,9 @@ def test_mixing_awkward(spark, awkward, none):
         out, names = mixing.mix(df, lab)
         rows = out.collect()
         assert len(rows) == df.count() and all(len(r.posterior) == len(names) and r.rate >= 0 and r.copies >= 0 for r in rows)
+    clash = awkward.withColumns({"domain": F.lit("q1t0"), "tokens": F.lit(3), "posterior": F.lit("p"), "__id": F.lit(0)})
+    same = lambda df: sorted((str(r.doc_id), r.th, r.rate, r.residual) for r in mixing.mix(df, labels(spark))[0].collect())
+    assert same(clash) == same(awkward)
     again = {(r.doc_id, r.rate) for r in mixing.mix(awkward, labels(spark))[0].where("doc_id = 5").collect()}
     assert len(again) == 1
 

@@ -275,9 +275,9 @@ def test_exposed_terms():
 def test_sparse_lengths_take_the_nearest_floor():
     bins = np.array([4] * 20 + [9] * 20 + [14] * 3)
     cos = np.array([0.1] * 20 + [0.5] * 20 + [0.6, 0.7, 0.8])
-    low = language_id.least_cosines(cos, bins)
-    assert low[4] == low[5] == low[0] == 0.1 and low[8] == low[9] == low[14] == low[20] == 0.5
-    assert set(language_id.least_cosines(cos[:3], bins[:3])) == {0.1}
+    low = language_id.floors(cos, bins)
+    assert np.allclose(low[[4, 5]], 0.065) and np.allclose(low[[0, 3]], 0.05) and np.allclose(low[[8, 9, 14, 20]], 0.325)
+    assert set(language_id.floors(cos[:3], bins[:3])) == {0.05}
 
 
 # --- coder ---------------------------------------------------------------------------------------------------

@@ -23,11 +23,14 @@ _KEPT: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session does not name one (tests, a laptop) a folder of this process is made and set.
+    Where the session does not name one and runs in one process (tests, a laptop) a folder of that process is made and set. On a cluster a folder of the driver's
+    machine would be no shared one, so there it must be named.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="tidelog-")
@@ -84,7 +87,7 @@ def bounded_sample(df: DataFrame, by: str, ident: str, most: int) -> DataFrame:
         .withColumn("__rank", rank)
         .where(F.col("__rank") < share * F.lit(float(1 << 32)))
     )
-    order = Window.partitionBy(by).orderBy("__rank", ident)
+    order = Window.partitionBy(by).orderBy("__rank", ident, F.xxhash64(*df.columns))
     return near.withColumn("__pos", F.row_number().over(order)).where(F.col("__pos") <= most).drop("__by", "__n", "__rank", "__pos")
 
 

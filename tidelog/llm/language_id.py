@@ -4,14 +4,15 @@ A text is lower-cased, everything but letters separates words, and the letter n-
 with a mark at both word ends) are hashed into a fixed number of dimensions, weighted by
 ``log(1 + tf) * idf`` and scaled to length one. Each language owns several centroids, the result of
 spherical k-means over its training vectors. A text gets the language of the centroid with the
-largest cosine. It is rejected when that cosine lies further out than the training texts of that
-language of about the same length ever did, times a slack.
+largest cosine. It is rejected when that cosine is less than ``share`` of what the middle training text of that language and of
+about the same length has. Text in no learnt language and text of one word again and again lie below, prose far above.
 
 Fitting uses a bounded sample, ``sample_per_lang`` texts of each language; predicting is a map over
 whole texts without a shuffle. What the driver holds is languages x centroids x dimensions.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected; without
-any training row every text is ``und``; equal cosines go to the language that sorts first.
+any training row every text is ``und``; equal cosines go to the language that sorts first; texts of any length are read whole; of rows with one doc_id and
+several texts any may be learnt from, the same ones each time; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -132,19 +133,19 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def least_cosines(cos: np.ndarray, bins: np.ndarray, enough: int = 20) -> np.ndarray:
-    """The least training cosine of each length; a length of too few texts takes the nearest length that has enough, or its own least if that is lower.
+def floors(cos: np.ndarray, bins: np.ndarray, share: float = 0.65, loose: float = 0.5, enough: int = 20) -> np.ndarray:
+    """The least cosine of each length that is not rejected: ``share`` of the median training cosine of that length.
 
-    Cosines fall as texts get shorter, so lengths below all that have enough keep the least of all texts.
+    The median stands whatever junk the training texts hold. A length of too few texts takes the floor of the nearest length that has enough; shorter
+    texts than all of these, whose cosines spread widely, the least of all training cosines times ``loose``.
     """
-    own = np.array([cos[bins == b].min() if (bins == b).any() else np.inf for b in range(_BINS)])
     filled = np.flatnonzero(np.bincount(bins, minlength=_BINS) >= enough)
     if not len(filled):
-        return np.full(_BINS, cos.min())
-    near = filled[np.abs(np.arange(_BINS)[:, None] - filled).argmin(1)]
-    low = np.minimum(own, own[near])
-    low[: filled[0]] = cos.min()
-    return low
+        return np.full(_BINS, loose * cos.min())
+    own = np.array([share * np.median(cos[bins == b]) for b in filled])
+    out = own[np.abs(np.arange(_BINS)[:, None] - filled).argmin(1)]
+    out[: filled[0]] = loose * cos.min()
+    return out
 
 
 @dataclass
@@ -170,7 +171,7 @@ class Model:
         return out, score, rejected
 
 
-def fit(train: DataFrame, text: str = "text", lang: str = "lang", ident: str = "doc_id", sample_per_lang: int = 1200, centroids: int = 4, slack: float = 0.5) -> Model:
+def fit(train: DataFrame, text: str = "text", lang: str = "lang", ident: str = "doc_id", sample_per_lang: int = 1200, centroids: int = 4, share: float = 0.65) -> Model:
     """Fits centroids on at most ``sample_per_lang`` texts of each non-null language."""
     rows = train.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(ident).alias("__id"), F.col(lang).alias("__lang"), F.col(text).alias("__text"))
     sample = keep(bounded_sample(rows, "__lang", "__id", sample_per_lang))
@@ -196,8 +197,8 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", ident: str = "
             return pd.DataFrame({"lang": [], "c": [], "floor": []})
         c = spherical_kmeans(x, centroids)
         cos, bins = (x @ c.T).max(1), _bin(letters)
-        low = least_cosines(cos, bins)
-        return pd.DataFrame({"lang": [pdf["__lang"].iloc[0]], "c": [c.astype("<f4").tobytes()], "floor": [(low * slack).astype("<f8").tobytes()]})
+        low = floors(cos, bins, share)
+        return pd.DataFrame({"lang": [pdf["__lang"].iloc[0]], "c": [c.astype("<f4").tobytes()], "floor": [low.astype("<f8").tobytes()]})
 
     made = sorted(sample.groupBy("__lang").applyInPandas(cluster, "lang string, c binary, floor binary").collect(), key=lambda r: r.lang)
     parts = [np.frombuffer(bytes(r.c), "<f4").reshape(-1, DIMS) for r in made]
