@@ -10,13 +10,14 @@ from tidelog.llm.common import keep
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("low")).select("c", F.least("c", "low").alias("m"))
+    # kept, so that the join after it is of plain exchanges, whose hubs Spark can split
+    least = keep(both.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("low")).select("c", F.least("c", "low").alias("m")))
     return both.join(least, F.col("u") == F.col("c")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))
+    least = keep(down.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")))
     out = down.join(least, F.col("u") == F.col("c")).select(F.explode(F.array(F.struct(F.col("v").alias("a"), "m"), F.struct(F.col("u").alias("a"), "m"))).alias("e"))
     return out.select(F.col("e.a").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
 
