@@ -399,6 +399,29 @@ def test_repeated_strings_equal_brute_force(spark, most):
     assert [got[i + 1] for i in range(len(texts))] == want and got[None] == (0, 0, 0, hashlib.sha256(b"").hexdigest())
 
 
+def test_large_collections_are_cut_without_loss(spark):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    core, near = word(14), word(30)
+    # one passage in contexts that agree for a while, on one side or both, so that halves stay large for some rounds
+    texts = [word(12) + near[: rng.randrange(31)] + core + near[: rng.randrange(31)] + word(12) for _ in range(120)]
+    df = docs(spark, texts)
+    want = [x[1:] for x in plain_cut(texts, 30)]
+    for most in (3, 40, 50_000):
+        rows = suffix_dedup.cut_out(df, suffix_dedup.repeats(df, 30, 6, most)).select("r.doc_id", "n_removed", "n_spans", "kept_sha256").collect()
+        got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in rows}
+        assert [got[i + 1] for i in range(len(texts))] == want
+
+
+def test_strings_of_periodic_texts_are_few(spark):
+    texts = ["a" * 20_000, "ab" * 9_000, "the same sentence again. " * 800, "x" * 300 + "y" * 500]
+    df = docs(spark, texts)
+    rows = suffix_dedup.members(df, 100, 25)
+    assert rows.count() < 300 and rows.agg(F.sum("times")).first()[0] > 10_000
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.cut_out(df, suffix_dedup.repeats(df, 100, 25)).select("r.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()}
+    assert [got[i + 1] for i in range(len(texts))] == plain_cut(texts, 100)
+
+
 def test_repeated_strings_awkward(spark, awkward, none):
     df = keep(awkward.withColumn("text", F.when(F.col("doc_id") == 5, F.repeat("text", 6)).otherwise(F.col("text"))))
     rows = suffix_dedup.cut_out(df, suffix_dedup.repeats(df)).select("r.doc_id", "n_bytes", "n_removed").collect()

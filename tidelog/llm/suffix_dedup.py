@@ -15,7 +15,10 @@ strings, which is exact:
   symbol gives the next order, and common prefixes follow from the least common prefix between the two predecessors, plus one. A window repeats if its suffix
   shares LENGTH bytes with a neighbour in the order. The columns of a batch of collections lie in one temporary file,
   written once and read once in order; order and common prefixes are kept for one column.
-* A collection of more than ``MOST`` different strings is not given to one task: its windows are compared by 128-bit hash across the cluster.
+* A collection of more than ``MOST`` different strings is cut further and goes through the same construction. Its windows begin up to LENGTH - GRAM columns before the
+  minimiser; those of one half of these places have more columns in common than the whole, and so have equal windows. Each string gives a piece for either half, and pieces
+  with equal bytes in the common columns are a collection of their own. Halving ends, after nine rounds at most, with one window to a piece.
+* A string that stands in one text several times (low entropy, periods) is one row with the merged places it covers.
 
 Defined results: null counts as empty; texts shorter than LENGTH keep all; matches never cross documents; a row repeated under the same doc_id
 is a copy like any other; strings are judged on the input.
@@ -23,6 +26,7 @@ is a copy like any other; strings are judged on the input.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import tempfile
 from collections.abc import Iterator
@@ -107,8 +111,26 @@ def minimiser_strings(raw: np.ndarray, off: np.ndarray, length: int, gram: int)
     return row, first - off[row], last - first + length, place[first] - first, h[place[first]]
 
 
+def _gathered(row: np.ndarray, sid: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray] | None]]:
+    """One place for equal strings of a row: which to keep, how often it stands there, and what its copies cover if there are some."""
+    order = np.lexsort((start, sid[:, 1], sid[:, 0], row))
+    new = np.ones(len(order), bool)
+    a, b = order[1:], order[:-1]
+    new[1:] = (row[a] != row[b]) | (sid[a] != sid[b]).any(1)
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(order)))
+    cover: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(first)
+    for i in np.flatnonzero(times > 1):
+        mine = order[first[i] : first[i] + times[i]]
+        cover[i] = _merge(start[mine], start[mine] + n[mine])
+    return order[first], times, cover
+
+
 def members(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """doc_id, th, h (minimiser), s1 and s2 (128-bit hash of the string), start, n (bytes), o (offset) of each string."""
+    """doc_id, th, h (minimiser), s1 and s2 (128-bit hash of the string), start, n (bytes), o (offset) of each different string of a row.
+
+    ``times`` tells how often it stands in the row; if more than once, froms and tos are the merged spans of its copies.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -118,13 +140,17 @@ def members(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     continue
                 data, begin = raw.tobytes(), off[row] + start
                 sid = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[s : s + k]) for s, k in zip(begin.tolist(), n.tolist(), strict=True)), "<i8").reshape(-1, 2)
-                take = pa.array(row + lo)
+                one, times, cover = _gathered(row, sid, start, n)
+                take = pa.array(row[one] + lo)
+                spans = [pa.array([None if c is None else c[side] for c in cover], pa.list_(pa.int64())) for side in (0, 1)]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(take), b.column(1).take(take), pa.array(signed(h)), pa.array(sid[:, 0]), pa.array(sid[:, 1]), pa.array(start), pa.array(n.astype(np.int32)), pa.array(o.astype(np.int32))],
-                    ["doc_id", "th", "h", "s1", "s2", "start", "n", "o"],
+                    [b.column(0).take(take), b.column(1).take(take), pa.array(signed(h[one])), pa.array(sid[one, 0]), pa.array(sid[one, 1]), pa.array(start[one]), pa.array(n[one].astype(np.int32)), pa.array(o[one].astype(np.int32)), pa.array(times), *spans],
+                    ["doc_id", "th", "h", "s1", "s2", "start", "n", "o", "times", "froms", "tos"],
                 )
 
-    return docs.select("doc_id", text_hash().alias("th"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, th long, h long, s1 long, s2 long, start long, n int, o int")
+    return docs.select("doc_id", text_hash().alias("th"), F.col("text").cast("binary").alias("text")).mapInArrow(
+        run, "doc_id long, th long, h long, s1 long, s2 long, start long, n int, o int, times long, froms array<long>, tos array<long>"
+    )
 
 
 def repeated_windows(strings: list[bytes], offset: np.ndarray, group: np.ndarray, length: int) -> list[np.ndarray]:
@@ -230,34 +256,68 @@ def _compare(strings: DataFrame, length: int) -> DataFrame:
     return strings.repartition("h").sortWithinPartitions("h", "s1", "s2").mapInArrow(run, _RUNS)
 
 
-def _compare_large(strings: DataFrame, length: int) -> DataFrame:
-    """The same for large collections, window by window."""
+_PIECES = "h long, s1 long, s2 long, base int, lo int, hi int, key long, p1 long, p2 long, o int, text binary"
+
 
+def halves(text: bytes, o: int, lo: int, hi: int, key: int, length: int) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """(first byte, least and greatest place, key, bytes) of the pieces of a string whose windows begin lo to hi columns before column 0, which is at ``o``.
+
+    Windows of one half share the columns [-least place, length - greatest place); the key stands for them.
+    """
+    mid = (lo + hi) // 2
+    for a, b in ((lo, mid), (mid + 1, hi)):
+        first, last = max(0, o - b), min(len(text) - length, o - a)
+        if a <= b and first <= last:
+            shared = text[o - a : o - b + length]
+            yield first, a, b, xxhash.xxh3_64_intdigest(key.to_bytes(8, "little", signed=True) + a.to_bytes(4, "little") + shared), text[first : last + length]
+
+
+def _cut_further(pieces: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                cols = [b.column(k).slice(lo, 256) for k in range(5)]
-                text = cols[4].to_pylist()
-                n = np.array([len(t) - length + 1 for t in text])
-                who = pa.array(np.repeat(np.arange(len(text)), n))
-                at = np.concatenate([np.arange(k) for k in n])
-                sid = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t[i : i + length]) for t in text for i in range(len(t) - length + 1)), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([*(c.take(who) for c in cols[:3]), pa.array(at.astype(np.int32)), pa.array(sid[:, 0]), pa.array(sid[:, 1])], ["h", "s1", "s2", "at", "w1", "w2"])
-
-    windows = keep(strings.mapInArrow(run, "h long, s1 long, s2 long, at int, w1 long, w2 long"))
-    twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    hit = windows.join(twice, ["w1", "w2"], "left_semi").groupBy("h", "s1", "s2").agg(F.sort_array(F.collect_list("at")).alias("first"))
-    return hit.select("h", "s1", "s2", "first", F.col("first").alias("last"))
+            for at in range(0, b.num_rows, 4096):
+                out: list[tuple] = []
+                for h, s1, s2, base, lo, hi, key, o, text in zip(*(c.to_pylist() for c in b.slice(at, 4096).columns), strict=True):
+                    for first, least, most, k, piece in halves(text, o, lo, hi, key, length):
+                        p1, p2 = np.frombuffer(xxhash.xxh3_128_digest((o - first).to_bytes(4, "little") + piece), "<i8").tolist()
+                        out.append((h, s1, s2, base + first, least, most, k - (1 << 64) if k >> 63 else k, p1, p2, o - first, piece))
+                if out:
+                    kinds = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.int64()] * 3 + [pa.int32(), pa.binary()]
+                    names = ["h", "s1", "s2", "base", "lo", "hi", "key", "p1", "p2", "o", "text"]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    return pieces.select("h", "s1", "s2", "base", "lo", "hi", "key", "o", "text").mapInArrow(run, _PIECES)
+
+
+def _compare_large(strings: DataFrame, length: int, gram: int, most: int) -> DataFrame | None:
+    """The same for large collections, in pieces; None if there are none. Equal pieces become one with a count, by their bytes."""
+    origin = ["h", "s1", "s2", "base", "lo", "hi"]
+    left = strings.select("h", "s1", "s2", F.lit(0).alias("base"), F.lit(0).alias("lo"), F.lit(length - gram).alias("hi"), F.col("h").alias("key"), "o", "text")
+    found = []
+    while not left.isEmpty():
+        cut = keep(_cut_further(left, length))
+        distinct = keep(cut.groupBy("key", "p1", "p2", "o", "text").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*origin)).alias("at")))
+        sizes = keep(distinct.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("open")).where("size > 1 and open > 0"))
+        some = keep(distinct.join(sizes, "key").select("key", "p1", "p2", "o", "text", "at", "size"))
+        # a piece of one window is alone in its collection, but for keys that collide
+        last = (F.col("size") <= most) | (F.col("at.lo") == F.col("at.hi"))
+        small = _compare(some.where(last).select(F.col("key").alias("h"), F.col("p1").alias("s1"), F.col("p2").alias("s2"), "o", "text"), length)
+        whole = distinct.where("c > 1").select("key", "p1", "p2", F.array(F.lit(0)).alias("first"), F.array((F.octet_length("text") - length).cast("int")).alias("last"))
+        runs = whole.union(small)
+        hit = cut.drop("text").join(runs, ["key", "p1", "p2"])
+        found.append(keep(hit.select("h", "s1", "s2", *(F.transform(c, lambda x: x + F.col("base")).alias(c) for c in ("first", "last")))))
+        left = some.where(~last).select(*(f"at.{c}" for c in origin), "key", "o", "text")
+    return functools.reduce(DataFrame.union, found) if found else None
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
     """doc_id, th, starts, ends: sorted byte spans (they may overlap) covered by repeated strings, of the rows that have any."""
     every = keep(members(docs, length, gram))
     # kept, so that the joins after it are of plain exchanges, whose hot keys Spark can split
-    again = keep(every.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"))
+    again = keep(every.groupBy("h").agg(F.sum("times").alias("c")).where("c > 1").select("h"))
     some = keep(every.join(again, "h", "left_semi"))
     place = F.struct("doc_id", "th", "start")
-    distinct = keep(some.groupBy("h", "s1", "s2", "n", "o").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("at")))
+    distinct = keep(some.groupBy("h", "s1", "s2", "n", "o").agg(F.sum("times").alias("c"), F.min(place).alias("at")))
     whole = distinct.where("c > 1").select("h", "s1", "s2", F.array(F.lit(0)).alias("first"), F.array(F.col("n") - length).alias("last"))
     sizes = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("open")).where("size > 1 and open > 0")
     needed = distinct.join(keep(sizes.select("h", "size")), "h")
@@ -266,11 +326,15 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
     cut = rows.join(by_doc, same_row(rows, by_doc, "doc_id", "th", "__id", "__th"))
     # a repeated row would give its strings twice; one of them is enough
     strings = keep(cut.dropDuplicates(["__id", "__th"]).select("text", F.explode("cuts").alias("x")).select("x.h", "x.s1", "x.s2", "x.o", F.substring("text", F.col("x.from"), F.col("x.n")).alias("text"), "x.size"))
-    small = _compare(strings.where(F.col("size") <= most).drop("size"), length)
-    large = _compare_large(strings.where(F.col("size") > most).drop("size"), length)
-    runs = whole.union(small).union(large)
-    hit = some.join(runs, ["h", "s1", "s2"]).select("doc_id", "th", F.explode(F.arrays_zip("first", "last")).alias("r"), "start")
-    spans = hit.select("doc_id", "th", F.struct((F.col("start") + F.col("r.first")).alias("a"), (F.col("start") + F.col("r.last") + length).alias("b")).alias("s")).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("s")).alias("s"))
+    runs = whole.union(_compare(strings.where(F.col("size") <= most).drop("size"), length))
+    large = _compare_large(strings.where(F.col("size") > most).drop("size"), length, gram, most)
+    if large is not None:
+        runs = runs.union(large)
+    # copies inside one text repeat as a whole: what they cover is known already
+    froms = F.when(F.col("froms").isNull(), F.transform("first", lambda x: F.col("start") + x)).otherwise(F.col("froms"))
+    tos = F.when(F.col("tos").isNull(), F.transform("last", lambda x: F.col("start") + x + length)).otherwise(F.col("tos"))
+    hit = some.join(runs, ["h", "s1", "s2"]).select("doc_id", "th", F.explode(F.arrays_zip(froms.alias("a"), tos.alias("b"))).alias("s"))
+    spans = hit.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("s")).alias("s"))
     return spans.select("doc_id", "th", F.col("s.a").alias("starts"), F.col("s.b").alias("ends"))
 
 
