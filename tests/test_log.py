@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog.operators import fold, oplog, runs
-from tidelog.operators.ordered import last_before
+from tidelog.operators.ordered import last_before, numbered
 from tidelog.schemas import OP_LOG, RUN_ENTRY
 
 
@@ -226,3 +226,13 @@ def test_exactly_once_keeps_rows_with_nulls(spark):
     yes, no = oplog.accepted(log).collect(), oplog.rejected(log).collect()
     assert len(yes) + len(no) == len(rows)
     assert (2, None) in {(r.idx, r.client_id) for r in yes} and (4, None) in {(r.idx, r.client_id) for r in no}
+
+
+@pytest.mark.parametrize("stretch", [1, 4, 1 << 20])
+def test_numbers_in_stretches_are_row_numbers(spark, stretch):
+    rng = random.Random(stretch)
+    data = [(rng.choice(["a", "b", None]), rng.choice([None, *range(30)]), i) for i in range(200)]
+    got = {r.i: r.nth for r in numbered(spark.createDataFrame(data, "k string, at long, i long"), ["k"], "at", "nth", ("i",), stretch).collect()}
+    for key in ("a", "b", None):
+        mine = sorted((r for r in data if r[0] == key), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        assert [got[r[2]] for r in mine] == list(range(1, len(mine) + 1))

@@ -5,6 +5,10 @@ from __future__ import annotations
 import struct
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 def fixed32(n: int) -> bytes:
     return struct.pack("<I", n)
@@ -89,3 +93,39 @@ def decode_batch(data: bytes) -> list[tuple[int, bytes, bytes]] | None:
         key = c.prefixed()
         ops.append((kind, key, c.prefixed() if kind == VALUE else b""))
     return ops if c.done() else None
+
+
+def varint_bytes(n: Column) -> Column:
+    """The varint of a whole number; null of null."""
+
+    @F.arrow_udf("binary")
+    def run(col: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else varint(x) for x in col.to_pylist()], pa.binary())
+
+    return run(n.cast("long"))
+
+
+def varint_value(data: Column) -> Column:
+    """The number of a varint that the bytes hold whole; else null."""
+
+    def value(x: bytes | None) -> int | None:
+        c = Cursor(x or b"")
+        n = c.varint()
+        return n if c.done() else None
+
+    @F.arrow_udf("long")
+    def run(col: pa.Array) -> pa.Array:
+        return pa.array([value(x) for x in col.to_pylist()], pa.int64())
+
+    return run(data)
+
+
+def batch_bytes(key: Column, value: Column) -> Column:
+    """A write batch of one operation: a put of the value, or a deletion where it is null."""
+
+    @F.arrow_udf("binary")
+    def run(keys: pa.Array, values: pa.Array) -> pa.Array:
+        ops = zip(keys.to_pylist(), values.to_pylist(), strict=True)
+        return pa.array([encode_batch([(DELETION, k, b"") if v is None else (VALUE, k, v)]) for k, v in ops], pa.binary())
+
+    return run(key.cast("binary"), value.cast("binary"))

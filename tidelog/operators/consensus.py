@@ -108,6 +108,11 @@ def append_entries(leader: DataFrame, follower: DataFrame) -> DataFrame:
     return kept.unionByName(fresh.select(*kept.columns))
 
 
+def follower_commit(commit: Column, leader_commit: Column, match: Column) -> Column:
+    """A follower's commit index after an append: the leader's, but not behind the last entry known to match, and never back."""
+    return F.greatest(commit, F.least(leader_commit, match))
+
+
 def conflict_terms(log: DataFrame) -> DataFrame:
     """(part, node_id, term, first_idx, last_idx): where each term begins and ends; terms never fall in a log, so a group is one stretch."""
     return log.groupBy("part", "node_id", "term").agg(F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidelog.functions.hashing import partition_for
-from tidelog.operators.ordered import STRETCH
+from tidelog.operators.ordered import STRETCH, numbered
 from tidelog.schemas import MUTATIONS
 
 
@@ -85,7 +85,6 @@ def applied_index(log: DataFrame) -> DataFrame:
 
 
 def proposed(log: DataFrame, commands: DataFrame, order: str) -> DataFrame:
-    """Commands with the indexes that a leader would give them: behind the last of the log, in their order, for each partition."""
+    """Commands with the indexes that a leader would give them: behind the last of the log, by ``order`` (a whole number), for each partition."""
     last = log.groupBy("part").agg(F.max("idx").alias("__last"))
-    numbered = commands.withColumn("__n", F.row_number().over(Window.partitionBy("part").orderBy(order)))
-    return numbered.join(last, "part", "left").withColumn("idx", F.coalesce("__last", F.lit(0)) + F.col("__n")).drop("__n", "__last")
+    return numbered(commands, ["part"], order, "__n").join(last, "part", "left").withColumn("idx", F.coalesce("__last", F.lit(0)) + F.col("__n")).drop("__n", "__last")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.functions import bloom, hashing, text
+from tidelog.functions import bloom, codecs, hashing, text
 from tidelog.operators import cache, consensus, fold, history, metrics, oplog, placement, runs
 from tidelog.plans import views
 from tidelog.plans.views import table
@@ -265,21 +265,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey").join(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")
 
 
-@query("bloom_exact_filter")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    """How many keys of orders a bit-exact filter over lineitem's keys lets through, beside the truth."""
-    held = table(spark, d, "lineitem").select(F.format_string("k%07d", "l_orderkey").alias("k")).distinct()
-    made = bloom.build(held, "k", held.count())
-    keys = table(spark, d, "orders").select(F.format_string("k%07d", "o_orderkey").alias("k")).join(held.withColumn("present", F.lit(True)), "k", "left")
-    asked = keys.withColumn("maybe", bloom.contains(made, F.col("k")))
-    return asked.agg(
-        F.count(F.lit(1)).alias("asked"),
-        F.count(F.when(F.col("maybe"), 1)).alias("passed"),
-        F.count(F.when(F.col("present") & ~F.col("maybe"), 1)).alias("false_negatives"),
-        F.count(F.when(F.col("present").isNull() & F.col("maybe"), 1)).alias("false_positives"),
-    )
-
-
 @query("bloom_probes", "SELECT b::INTEGER AS bits, greatest(1, least(30, floor(b * 0.69)))::INTEGER AS probes FROM (SELECT unnest(range(0, 60)) AS b)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(60).select(F.col("id").cast("int").alias("bits"), bloom.probe_count(F.col("id")).alias("probes"))
@@ -288,8 +273,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 # --- hashing and placement ------------------------------------------------------------------------------
 
 
-def murmur_sql(key: str, seed: int, source: str) -> str:
-    """The hash of keys of eight bytes, in 128-bit arithmetic."""
+def murmur_sql(key: str, seed: int, source: str, to: str = "hashed") -> str:
+    """The hash of keys of 8 to 15 bytes, in 128-bit arithmetic: one whole word, then the bytes that are left."""
     m, two64 = f"{hashing.MULTIPLIER}::UHUGEINT", "18446744073709551616::UHUGEINT"
 
     def shift(x: str) -> str:
@@ -299,11 +284,22 @@ def murmur_sql(key: str, seed: int, source: str) -> str:
         low, high = f"(({x}) & 4294967295::UHUGEINT)", f"(({x}) >> 32)"
         return f"(({low} * {m} + ((({high} * {m}) & 4294967295::UHUGEINT) << 32)) % {two64})"
 
-    word = "list_reduce(list_transform(range(8), lambda i: ascii(substr(" + key + ", (i + 1)::INTEGER, 1))::UHUGEINT << (8 * i)::UHUGEINT), lambda a, b: a + b)"
-    start = (8 * hashing.MULTIPLIER % (1 << 64)) ^ seed
-    return f"""h0 AS (SELECT *, {word} AS w FROM {source}), h1 AS (SELECT *, {times('w')} AS a FROM h0), h2 AS (SELECT *, {shift('a')} AS b FROM h1),
-h3 AS (SELECT *, xor({start}::UHUGEINT, {times('b')}) AS c FROM h2), h4 AS (SELECT *, {times('c')} AS e FROM h3), h5 AS (SELECT *, {shift('e')} AS f FROM h4),
-h6 AS (SELECT *, {times('f')} AS g FROM h5), hashed AS (SELECT *, {shift('g')} AS h FROM h6)"""
+    def word(places: str, first: int) -> str:
+        return f"list_reduce(list_prepend(0::UHUGEINT, list_transform({places}, lambda i: ascii(substr({key}, (i + {first})::INTEGER, 1))::UHUGEINT << (8 * i)::UHUGEINT)), lambda a, b: a + b)"
+
+    t = to
+    return f"""{t}0 AS (SELECT *, {word('range(8)', 1)} AS w, {word(f'range(length({key}) - 8)', 9)} AS rest, length({key})::UHUGEINT AS bytes FROM {source}), {t}1 AS (SELECT *, {times('w')} AS a FROM {t}0), {t}2 AS (SELECT *, {shift('a')} AS b FROM {t}1),
+{t}3 AS (SELECT *, xor(xor({times('bytes')}, {seed}::UHUGEINT), {times('b')}) AS c0 FROM {t}2), {t}4 AS (SELECT *, {times('c0')} AS c1 FROM {t}3), {t}5 AS (SELECT *, xor(c1, rest) AS c2 FROM {t}4),
+{t}6 AS (SELECT *, CASE WHEN bytes = 8 THEN c1 ELSE {times('c2')} END AS e FROM {t}5), {t}7 AS (SELECT *, {shift('e')} AS f FROM {t}6), {t}8 AS (SELECT *, {times('f')} AS g FROM {t}7), {to} AS (SELECT *, {shift('g')} AS h FROM {t}8)"""
+
+
+def _ring_sql(nodes: int, vnodes: int, to: str) -> str:
+    names = f"{to}_names AS (SELECT n AS node_id, 'node-' || n || '#' || v AS name FROM (SELECT unnest(range(1, {nodes + 1})) AS n) CROSS JOIN (SELECT unnest(range({vnodes})) AS v))"
+    return f"{names}, {murmur_sql('name', hashing.DEFAULT_SEED, f'{to}_names', to + '_h')}, {to} AS (SELECT h::HUGEINT AS point, node_id FROM {to}_h)"
+
+
+def _owner_sql(ring: str, to: str) -> str:
+    return f"{to} AS (SELECT k, coalesce(r.node_id, (SELECT arg_min(node_id, point) FROM {ring})) AS node_id FROM (SELECT k, h::HUGEINT AS h FROM hashed) q ASOF LEFT JOIN {ring} r ON q.h <= r.point)"
 
 
 _ORDER_KEYS = "keys AS (SELECT o_orderkey, format('k{:07d}', o_orderkey) AS k FROM orders)"
@@ -369,18 +365,56 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return placement.spread(primary_load(spark, d))
 
 
-@query("ring_points")
+@query("ring_points", f"WITH {_ring_sql(5, 64, 'ring')} SELECT point::VARCHAR AS point, node_id FROM ring")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return placement.ring([1, 2, 3, 4, 5]).frame(spark)
+    return placement.ring([1, 2, 3, 4, 5]).frame(spark).select(F.col("point").cast("string").alias("point"), "node_id")
+
 
+_MOVES = f"{_ORDER_KEYS}, {murmur_sql('k', hashing.DEFAULT_SEED, 'keys')}, {_ring_sql(10, 128, 'ten')}, {_ring_sql(11, 128, 'eleven')}, {_owner_sql('ten', 'before')}, {_owner_sql('eleven', 'after')}"
 
-@query("ring_rebalance")
+
+@query("ring_rebalance", f"WITH {_MOVES} SELECT count(*) AS keys, count(*) FILTER (WHERE before.node_id <> after.node_id) AS moved, count(*) FILTER (WHERE before.node_id <> after.node_id) / count(*)::DOUBLE AS fraction FROM before JOIN after USING (k)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """How many orders' keys change their owner when an eleventh node joins ten."""
     keys = order_keys(spark, d).select("k")
     return placement.moved(placement.owners(keys, placement.ring(list(range(1, 11)), 128)), placement.owners(keys, placement.ring(list(range(1, 12)), 128)))
 
 
+_PROBES = bloom.probes(bloom.BITS_PER_KEY)
+_TURN = "((((h >> 33) | (h << 31)) & 18446744073709551615::UHUGEINT))"
+_BLOOM = f"""keys AS (SELECT format('k{{:07d}}', o_orderkey) AS k FROM orders UNION SELECT format('k{{:07d}}', l_orderkey) FROM lineitem), {murmur_sql('k', hashing.BLOOM_SEED, 'keys')},
+held AS (SELECT DISTINCT format('k{{:07d}}', l_orderkey) AS k FROM lineitem), width AS (SELECT (greatest(64, count(*) * {bloom.BITS_PER_KEY}) + 7) // 8 * 8 AS bits FROM held),
+probed AS (SELECT k, ((h + {_TURN} * i) % 18446744073709551616::UHUGEINT % bits::UHUGEINT)::BIGINT AS place FROM hashed, width, (SELECT unnest(range({_PROBES}))::UHUGEINT AS i) p),
+bits AS (SELECT DISTINCT place FROM probed SEMI JOIN held USING (k)), passing AS (SELECT k FROM probed LEFT JOIN bits USING (place) GROUP BY k HAVING count(bits.place) = count(*)),
+answers AS (SELECT k, k IN (SELECT k FROM passing) AS maybe, k IN (SELECT k FROM held) AS present FROM (SELECT format('k{{:07d}}', o_orderkey) AS k FROM orders))"""
+
+
+def filtered_keys(spark: SparkSession, d: str) -> DataFrame:
+    """(k, present, maybe) of orders' keys, asked of a bit-exact filter over lineitem's keys."""
+    held = table(spark, d, "lineitem").select(F.format_string("k%07d", "l_orderkey").alias("k")).distinct()
+    made = bloom.build(held, "k", held.count())
+    keys = table(spark, d, "orders").select(F.format_string("k%07d", "o_orderkey").alias("k")).join(held.withColumn("present", F.lit(True)), "k", "left")
+    return keys.withColumn("maybe", bloom.contains(made, F.col("k")))
+
+
+@query("bloom_exact_filter", f"WITH {_BLOOM} SELECT count(*) AS asked, count(*) FILTER (WHERE maybe) AS passed, count(*) FILTER (WHERE present AND NOT maybe) AS false_negatives, count(*) FILTER (WHERE NOT present AND maybe) AS false_positives FROM answers")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """How many keys of orders the filter lets through, beside the truth."""
+    return filtered_keys(spark, d).agg(
+        F.count(F.lit(1)).alias("asked"),
+        F.count(F.when(F.col("maybe"), 1)).alias("passed"),
+        F.count(F.when(F.col("present") & ~F.col("maybe"), 1)).alias("false_negatives"),
+        F.count(F.when(F.col("present").isNull() & F.col("maybe"), 1)).alias("false_positives"),
+    )
+
+
+@query("bloom_skip_share", f"WITH {_BLOOM} SELECT count(*) AS absent, coalesce(count(*) FILTER (WHERE NOT maybe) / nullif(count(*), 0)::DOUBLE, 0) AS skipped FROM answers WHERE NOT present")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Of the keys that are not there, the share whose lookup the filter spares."""
+    absent, spared = F.count(F.lit(1)), F.count(F.when(~F.col("maybe"), 1))
+    return filtered_keys(spark, d).where("present is null").agg(absent.alias("absent"), metrics.ratio(spared, absent).alias("skipped"))
+
+
 # --- consensus logs -----------------------------------------------------------------------------------------
 
 
@@ -478,6 +512,16 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return consensus.append_entries(log.where("node_id = 0"), log.where("node_id = 1")).select("idx", "term", "data")
 
 
+@query("follower_commit", f"WITH {views.REPLICAS_SQL}, m AS (SELECT max(idx) AS top FROM replica_log WHERE node_id IN (0, 1)), c AS (SELECT n_nationkey::BIGINT AS n, (n_nationkey * 450 + 5)::BIGINT AS sent, (n_nationkey * 100)::BIGINT AS held FROM nation) SELECT n, greatest(held, least(sent, top)) AS commit_idx FROM c, m")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """What a follower commits when leaders with other commit indexes append to it; its log matches to the end once it took their entries."""
+    log = views.replica_log(spark, d)
+    match = consensus.append_entries(log.where("node_id = 0"), log.where("node_id = 1")).agg(F.max("idx").alias("at"))
+    n = F.col("n_nationkey").cast("long")
+    asked = table(spark, d, "nation").join(F.broadcast(match))  # one row
+    return asked.select(n.alias("n"), consensus.follower_commit(n * 100, n * 450 + 5, F.col("at")).alias("commit_idx"))
+
+
 @query("conflict_term_start", f"WITH {views.REPLICAS_SQL} SELECT part, node_id, term, min(idx) AS first_idx, max(idx) AS last_idx FROM replica_log WHERE node_id <> 1 GROUP BY ALL")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return consensus.conflict_terms(views.replica_log(spark, d).where("node_id <> 1"))
@@ -549,6 +593,23 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return wal.intact_prefix_by_flag(rows, ["source"], "doc_id", "good").select("source", "doc_id")
 
 
+_GROUPS = "CASE WHEN n < 128 THEN printf('%02X', n) WHEN n < 16384 THEN printf('%02X%02X', n % 128 + 128, n // 128) WHEN n < 2097152 THEN printf('%02X%02X%02X', n % 128 + 128, n // 128 % 128 + 128, n // 16384) ELSE printf('%02X%02X%02X%02X', n % 128 + 128, n // 128 % 128 + 128, n // 16384 % 128 + 128, n // 2097152) END"
+
+
+@query("varint_roundtrip", f"SELECT n, {_GROUPS} AS bytes, n AS back FROM (SELECT o_orderkey * 37 AS n FROM orders)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    coded = table(spark, d, "orders").select((F.col("o_orderkey") * 37).cast("long").alias("n")).withColumn("coded", codecs.varint_bytes(F.col("n")))
+    return coded.select("n", F.hex("coded").alias("bytes"), codecs.varint_value(F.col("coded")).alias("back"))
+
+
+@query("batch_roundtrip", "SELECT doc_id AS pos, CASE WHEN doc_id % 5 = 0 THEN 'delete' ELSE 'put' END AS op, 'd' || doc_id AS k, CASE WHEN doc_id % 5 <> 0 THEN coalesce(text, '') END AS v FROM documents")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as write batches of a log, read back as operations."""
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("k"), F.when(F.col("doc_id") % 5 != 0, F.coalesce("text", F.lit(""))).alias("v"))
+    logged = docs.select(F.lit("documents").alias("path"), F.col("doc_id").alias("pos"), codecs.batch_bytes(F.col("k"), F.col("v")).alias("payload"))
+    return wal.operations(logged).select("pos", "op", F.col("k").cast("string").alias("k"), F.col("v").cast("string").alias("v"))
+
+
 @query("key_hex_roundtrip", "SELECT p_partkey, 'k' || lower(hex(p_name::BLOB)) AS text, p_name AS back FROM part")
 def _(spark: SparkSession, d: str) -> DataFrame:
     coded = table(spark, d, "part").select("p_partkey", text.key_hex(F.col("p_name")).alias("text"))
@@ -620,11 +681,27 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return both.select(metrics.write_amplification(F.col("c"), F.col("u")).alias("amplification"))
 
 
-@query("cache_replay")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    """Hits of a block cache of 8 MB when users' blocks are read in the order of events; a cache for each of 8 shards."""
+# a block is held as long as the blocks used since, and itself, fit: each of them is counted at its first use since
+_READS = f"""reads AS (SELECT user_id % 8 AS shard, event_id AS seq, 65536 + user_id % 17 AS charge, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events),
+hits AS (SELECT a.shard, a.seq, a.prev IS NOT NULL AND a.charge + coalesce(sum(b.charge), 0) <= {1 << 20} AS hit
+  FROM reads a LEFT JOIN reads b ON a.shard = b.shard AND b.seq > a.prev AND b.seq < a.seq AND (b.prev IS NULL OR b.prev < a.prev) GROUP BY a.shard, a.seq, a.prev, a.charge)"""
+
+
+def replayed(spark: SparkSession, d: str) -> DataFrame:
+    """Users' blocks read in the order of events, through a block cache of 8 MB: a cache for each of 8 shards."""
     reads = table(spark, d, "events").select(F.pmod("user_id", F.lit(8)).alias("shard"), F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("key"), (F.lit(65_536) + F.col("user_id") % 17).alias("charge"))
-    return cache.replay(reads, 1 << 20).groupBy("shard").agg(F.count(F.lit(1)).alias("reads"), F.count(F.when(F.col("hit"), 1)).alias("hits"))
+    return cache.replay(reads, 1 << 20)
+
+
+@query("cache_replay", f"WITH {_READS} SELECT shard, count(*) AS reads, count(*) FILTER (WHERE hit) AS hits FROM hits GROUP BY shard")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return replayed(spark, d).groupBy("shard").agg(F.count(F.lit(1)).alias("reads"), F.count(F.when(F.col("hit"), 1)).alias("hits"))
+
+
+@query("cache_hit_share", f"WITH {_READS} SELECT count(*) AS reads, count(*) FILTER (WHERE hit) / count(*)::DOUBLE AS share FROM hits")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    reads = F.count(F.lit(1))
+    return replayed(spark, d).agg(reads.alias("reads"), metrics.ratio(F.count(F.when(F.col("hit"), 1)), reads).alias("share"))
 
 
 @query("cache_recency", "SELECT user_id % 8 AS shard, user_id::VARCHAR AS key, max(event_id) AS last_seq, row_number() OVER (PARTITION BY user_id % 8 ORDER BY max(event_id) DESC)::INTEGER AS rank FROM events GROUP BY user_id")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tidelog.operators.ordered import numbered
 
 PARTITIONS, CLIENTS, NODES = 6, 7, 5
 SPREAD = 500
@@ -26,9 +27,8 @@ def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
         op.alias("op"),
         F.concat(F.col("value").cast("decimal(12,2)").cast("string"), F.lit(";")).alias("v"),
     )
-    write = F.col("op") != "get"
-    nth = F.row_number().over(Window.partitionBy("client_id", write).orderBy("event_id")).cast("long")
-    return rows.withColumn("seq", F.when(write, nth))
+    dealt = numbered(rows.withColumn("write", F.col("op") != "get"), ["client_id", "write"], "event_id", "nth")
+    return dealt.withColumn("seq", F.when(F.col("write"), F.col("nth"))).drop("write", "nth")
 
 
 def op_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.window import Window
 
 from tidelog.functions.codecs import VALUE, decode_batch
 
@@ -70,9 +69,12 @@ def intact_prefix(rows: DataFrame, by: list[str], pos: str, crc: str, payload: s
 
 
 def intact_prefix_by_flag(rows: DataFrame, by: list[str], pos: str, ok: str) -> DataFrame:
-    """The same for rows that carry a flag."""
-    order = Window.partitionBy(*by).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("__ok", F.bool_and(ok).over(order)).where("__ok").drop("__ok")
+    """The same for rows that carry a flag; a null flag counts as bad."""
+    bad = rows.where(~F.coalesce(F.col(ok), F.lit(False))).groupBy(*(F.col(c).alias(f"__of_{c}") for c in by)).agg(F.min(pos).alias("__bad"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+    return rows.join(bad, same, "left").where(F.col("__bad").isNull() | (F.col(pos) < F.col("__bad"))).select(*rows.columns)
 
 
 def operations(logged: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tidelog.operators.ordered import numbered
 
 # The lossy setting.
 DROP_PERCENT, MAX_DELAY_MS = 10, 25
@@ -38,8 +39,7 @@ def deliver(messages: DataFrame, seed: int = 0, drop_percent: int = DROP_PERCENT
 
 def delivery_order(delivered: DataFrame) -> DataFrame:
     """Delivered messages with their position at each receiver, by arrival and then by sending."""
-    nth = F.row_number().over(Window.partitionBy("dst").orderBy("at_ms", "seq"))
-    return delivered.where("status = 'delivered'").withColumn("position", nth)
+    return numbered(delivered.where("status = 'delivered'"), ["dst"], "at_ms", "position", ("seq",))
 
 
 def counts(delivered: DataFrame) -> DataFrame:
