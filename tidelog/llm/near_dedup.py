@@ -10,7 +10,7 @@ the probability of their weighted Jaccard similarity. Only darts of rank below (
 are looked at, about a thousand for a text of any length; where a coordinate stays empty the bound
 is doubled, which changes no filled coordinate.
 
-Texts with equal shingle sets are one node from then on, so copies are never compared. Nodes join on
+Texts with equal shingle sets, by a 128-bit hash of the whole sorted set, are one node from then on, so copies are never compared. Nodes join on
 bands of five coordinates. In each bucket the nodes are compared with its smallest node first; where
 the links found leave nodes of a bucket in different components, every pair across these components
 follows: as rows in buckets of at most ``SMALL`` nodes; inside tasks, block by block, in larger ones, where
@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,10 +134,10 @@ def occurrences(elem: np.ndarray, count: np.ndarray, sizes: np.ndarray) -> tuple
 
 
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weight: str = "presence") -> DataFrame:
-    """doc_id, th, node (hash of the shingle set, null without words), n (the whole weight), band hashes."""
+    """doc_id, th, s1 and s2 (128-bit hash of the shingle set, null without words), n (the whole weight), band hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "th", "node", "n", "bands"]
+        names = ["doc_id", "th", "s1", "s2", "n", "bands"]
         for b in batches:
             for lo, raw, off in text_parts(b.column(2)):
                 m = len(off) - 1
@@ -146,19 +147,19 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weight: str =
                 key = np.broadcast_to(np.arange(bands, dtype=np.uint64) * _G + np.uint64(1), (m, bands)).copy()
                 for j in range(rows):
                     key = mix64(key * _M + sig[:, :, j])
-                node = np.zeros(m, np.uint64)
-                full = np.flatnonzero(sizes)
-                if len(full):
-                    at = (np.cumsum(sizes) - sizes)[full]
-                    mixed = elem if weight == "presence" else mix64(elem + count.astype(np.uint64))
-                    node[full] = mix64(np.add.reduceat(mix64(mixed * _M), at) + sizes[full].astype(np.uint64))
+                known = np.zeros((2, m), np.uint64)
+                held = elem if weight == "presence" else np.stack([elem, count.astype(np.uint64)], 1).reshape(-1)
+                step = len(held) // max(len(elem), 1)
+                stops = np.cumsum(sizes) * step
+                for i in np.flatnonzero(sizes):  # the elements are sorted, so equal sets have equal bytes
+                    known[:, i] = np.frombuffer(xxhash.xxh3_128_digest(held[stops[i] - sizes[i] * step : stops[i]].tobytes()), "<u8")
                 has = np.where(sizes > 0, bands, 0)
                 n = np.bincount(np.repeat(np.arange(m), sizes), weights=w, minlength=m).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, m), b.column(1).slice(lo, m), pa.array(signed(node), mask=sizes == 0), pa.array(n), lists(signed(key[sizes > 0].reshape(-1)), has, pa.int64())], names
+                    [b.column(0).slice(lo, m), b.column(1).slice(lo, m), *(pa.array(signed(known[side]), mask=sizes == 0) for side in (0, 1)), pa.array(n), lists(signed(key[sizes > 0].reshape(-1)), has, pa.int64())], names
                 )
 
-    return docs.select("doc_id", text_hash().alias("th"), F.lower("text").alias("text")).mapInArrow(run, "doc_id long, th long, node long, n long, bands array<long>")
+    return docs.select("doc_id", text_hash().alias("th"), F.lower("text").alias("text")).mapInArrow(run, "doc_id long, th long, s1 long, s2 long, n long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, weight: str = "presence") -> DataFrame:
@@ -232,8 +233,10 @@ def cross_links(rest: DataFrame, sets: DataFrame, parts: int, block: int = BLOCK
 def classes(docs: DataFrame, similarity: int = 80, bands: int = BANDS, rows: int = ROWS, weight: str = "presence") -> DataFrame:
     """doc_id, th, class_id of each row, and ``first``: whether it is its class's first by doc_id (null last) and th. ``similarity`` in hundredths."""
     s = keep(sketch(docs, bands, rows, weight))
-    worded = s.where("node is not null")
-    nodes = keep(worded.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")))
+    worded = s.where("s1 is not null")
+    alike = worded.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
+    # numbers are given once and kept; whatever they are, classes are named by doc_id in the end
+    nodes = keep(alike.withColumn("node", F.monotonically_increasing_id()))
     band = nodes.select("node", "n", F.explode("bands").alias("band"))
     # kept, so that the join after it is of two plain exchanges, whose hot keys Spark can split
     shared = keep(band.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size"))
@@ -259,7 +262,8 @@ def classes(docs: DataFrame, similarity: int = 80, bands: int = BANDS, rows: int
     late = keep(verified(more, sets, similarity).union(cross_links(rest.where(F.col("size") > SMALL), sets, similarity)))
     if not late.isEmpty():
         comp = keep(components(links.union(late)))
-    of = s.join(comp, "node", "left").select("doc_id", "th", F.coalesce("comp", "node").alias("class"))
+    named = keep(nodes.select("s1", "s2", "node").join(comp, "node", "left").select("s1", "s2", F.coalesce("comp", "node").alias("class")))
+    of = s.select("doc_id", "th", "s1", "s2").join(named, ["s1", "s2"], "left").select("doc_id", "th", "class")
     low = keep(of.where("class is not null").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("low")))
     first = F.col("class").isNull() | (F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("th") == F.col("low.th")))
     return of.join(low, "class", "left").select("doc_id", "th", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("low.doc_id")).alias("class_id"), first.alias("first"))
